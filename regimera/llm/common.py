@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +40,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers that do not have it installed: once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_regimera_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(f.relative_to(root.parent)))
+    target = Path(tempfile.mkdtemp(prefix="regimera-code-")) / "regimera_code.zip"
+    target.write_bytes(packed.getvalue())
+    context.addPyFile(str(target))
+    context._regimera_shipped = True
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, however often body refers to it."""
     return F.element_at(F.transform(F.array(value), body), 1)

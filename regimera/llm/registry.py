@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, secret_scan
+from . import matroska, mixing, quality_fm, quality_rules, secret_scan
 from .common import table
 
 
@@ -23,9 +23,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("found")
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.digest(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_mixing": op4_mixing,
+    "op6_media_columns": op6_media_columns,
+    "op8_quality_classifier": op8_quality_classifier,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLES: dict[str, str] = {}
