@@ -4,9 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska, mixing, quality_fm, quality_rules, secret_scan
+from . import matroska, mixing, quality_fm, quality_rules, secret_scan, sentencepiece_ac, token_count
 from .common import table
 
+try:  # the folder of the public tokenizer files, if it is a package here
+    from public_tokenizers import path as _path
+except ImportError:
+    _path = "/opt/tokenizers/{}".format
+
+#: Vocabulary files; both are parameters of the operators.
+BYTE_VOCABULARY = str(_path("byte_bpe_50k.json"))
+PIECE_MODEL = str(_path("piece_bpe_32k.model"))
+
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -31,11 +40,21 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), token_count.load_vocabulary(BYTE_VOCABULARY))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_ac.digest(table(spark, sf_dir, "documents"), sentencepiece_ac.load_pieces(PIECE_MODEL))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_mixing": op4_mixing,
     "op6_media_columns": op6_media_columns,
+    "op7_token_count": op7_token_count,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLES: dict[str, str] = {}
