@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska, mixing, quality_fm, quality_rules, secret_scan, sentencepiece_ac, token_count
+from . import html_template, matroska, mixing, quality_fm, quality_rules, secret_scan, sentencepiece_ac, token_count
 from .common import table
 
 try:  # the folder of the public tokenizer files, if it is a package here
@@ -48,8 +48,13 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_ac.digest(table(spark, sf_dir, "documents"), sentencepiece_ac.load_pieces(PIECE_MODEL))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_html_extraction": op3_html_extraction,
     "op4_mixing": op4_mixing,
     "op6_media_columns": op6_media_columns,
     "op7_token_count": op7_token_count,
