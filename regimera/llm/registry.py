@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_template, matroska, mixing, quality_fm, quality_rules, secret_scan, sentencepiece_ac, token_count
+from . import html_template, lm_lbl, matroska, mixing, quality_fm, quality_rules, secret_scan, sentencepiece_ac, token_count
 from .common import table
 
 try:  # the folder of the public tokenizer files, if it is a package here
@@ -52,10 +52,15 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_template.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_lbl.score_corpus(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_html_extraction": op3_html_extraction,
     "op4_mixing": op4_mixing,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_media_columns": op6_media_columns,
     "op7_token_count": op7_token_count,
     "op8_quality_classifier": op8_quality_classifier,
