@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_template, lm_lbl, matroska, mixing, quality_fm, quality_rules, secret_scan, sentencepiece_ac, token_count
+from . import html_template, jaccard_join, lm_lbl, matroska, mixing, quality_fm, quality_rules, secret_scan, sentencepiece_ac, token_count
 from .common import table
 
 try:  # the folder of the public tokenizer files, if it is a package here
@@ -56,8 +56,13 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_lbl.score_corpus(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_html_extraction": op3_html_extraction,
     "op4_mixing": op4_mixing,
     "op5_lm_scoring": op5_lm_scoring,
