@@ -417,3 +417,14 @@ def join(docs: DataFrame, salt_at: int = SALT_AT) -> DataFrame:
     ids = joined.join(least, "comp").select("node", "component_id")
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return rows.where("n_shingles > 0").join(ids, "node").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+
+
+def one_of_each(docs: DataFrame, salt_at: int = SALT_AT) -> DataFrame:
+    """docs with only the smallest id of each component; of rows that repeat an id one stays. Rows without an id all stay."""
+    found = materialise(join(docs, salt_at), "join-components")
+    away = found.where("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(away, "doc_id", "left_anti").select(docs.columns)
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return left
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))

@@ -80,10 +80,14 @@ def schedule(goals: DataFrame, bits: int = SLOT_BITS) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1)
 
 
+def row_hash() -> Column:
+    """Places a row in its source's stream; equal for rows of equal id and text."""
+    return F.xxhash64(F.lit(17), "doc_id", F.coalesce(F.col("text"), F.lit("")))
+
+
 def mix(docs: DataFrame, most: int = MOST, bits: int = SLOT_BITS) -> DataFrame:
-    """(rid, doc_id, source, size, source_size, target, taken) for each row of docs, which needs doc_id, source and text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    light = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(17), "doc_id", text).alias("h"))
+    """(rid, h, doc_id, source, size, source_size, target, taken) for each row of docs, which needs doc_id, source and text."""
+    light = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row_hash().alias("h"))
     light = materialise(light.withColumn("rid", F.monotonically_increasing_id()), "mix-sizes")
     goals = materialise(targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), most), "mix-targets")
     block = block_words(goals, bits).select("block")
@@ -111,5 +115,14 @@ def mix(docs: DataFrame, most: int = MOST, bits: int = SLOT_BITS) -> DataFrame:
         .agg(F.sum(F.col("words") * F.col("times")).cast("long").alias("taken"))
     )
     same = F.col("l.source").eqNullSafe(F.col("g.source"))
-    out = light.alias("l").join(goals.alias("g"), same).select("l.rid", "l.doc_id", "l.source", "l.size", "g.source_size", "g.target")
+    out = light.alias("l").join(goals.alias("g"), same).select("l.rid", "l.h", "l.doc_id", "l.source", "l.size", "g.source_size", "g.target")
     return out.join(taken, "rid", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
+
+
+def mixed_documents(docs: DataFrame, most: int = MOST, bits: int = SLOT_BITS) -> DataFrame:
+    """The documents of the mix with the columns of docs, repeated as often as the mix takes them (parts round to the nearest)."""
+    share = mix(docs, most, bits).groupBy("h").agg((F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))).alias("share"))
+    copies = share.select("h", F.floor(F.col("share") + 0.5).cast("int").alias("copies")).where("copies > 0")
+    cols = docs.columns
+    rows = docs.select(F.struct(*cols).alias("row"), row_hash().alias("h")).join(copies, "h")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
