@@ -10,14 +10,16 @@ A document's set holds the 64-bit hashes of its distinct 5-word shingles. Two do
 3. A shingle's list of nodes is cut into size bands (factor 1.25; only the same or neighbouring bands can link). Each
    member is paired with its band's leader, leaders of neighbouring bands with each other: pairs grow in proportion to
    the list, never with its square. Lists of three and more are kept for step 5.
-4. Each node is checked against the leader it shares most lists with: bitmap signatures bound the overlap from above
-   (|x| + |y| - popcount(x xor y)) / 2, survivors are intersected exactly. The links found give first components.
+   Bitmaps, as wide as the size band asks, bound the overlap from above by (|x| + |y| - popcount(x xor y)) / 2 and
+   discard most chance pairs.
+4. Each node is checked against the leader it shares most lists with, by exact intersection of the sorted arrays. The
+   links found give first components.
 5. What is left are pairs of step 3 between different components, and lists that hold several components. Their
-   members meet in tiles of a size-ordered block against another, compared by signatures only where components differ
-   and sizes allow a link; survivors are checked exactly and the components joined.
+   members meet in tiles of a size-ordered block against another, compared by bitmaps where components differ and sizes
+   allow a link; survivors are checked exactly and the components joined.
 
 Scale: texts are never shuffled. Prefixes are about a fifth of all shingles at 8 bytes each; sets (8 bytes a shingle)
-move only for nodes in some pair, chosen by a Bloom filter of fixed size. A shingle whose sketch count exceeds
+move only for nodes in some pair that the bitmaps left, chosen by a Bloom filter of fixed size. A shingle whose sketch count exceeds
 `salt_at` has its list split by node over several partitions; the leaders of the parts are then paired with the least
 of them. The driver receives the sketch and the filter, both of fixed size.
 
@@ -44,7 +46,7 @@ SIZE = 5
 NUMERATOR, DENOMINATOR = 4, 5
 SKETCH_BITS = 18
 BLOOM_BITS = 23
-SIGNATURE_WORDS = 8
+LEAST_BITS = 512
 TILE = 512
 SALT_AT = 1 << 16
 
@@ -62,18 +64,44 @@ def nodes_of(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A bitmap of 64 * SIGNATURE_WORDS bits for each set: the bit of each shingle flips (so counts of differing bits never exceed differing shingles)."""
-    n, bits = len(offsets) - 1, 64 * SIGNATURE_WORDS
-    slot = (mix64(sets + np.uint64(0x9E37)) >> np.uint64(40)) % np.uint64(bits)
-    key = np.repeat(np.arange(n), np.diff(offsets)) * bits + slot.astype(np.int64)
-    odd = (np.bincount(key, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
-    return np.packbits(odd, axis=1).view("<u8").reshape(n, SIGNATURE_WORDS)
+def widths(size: np.ndarray) -> np.ndarray:
+    """Bits of a set's bitmap: the power of two at or above its size, LEAST_BITS at least."""
+    return np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
 
 
-def overlap_bound(size_a: np.ndarray, size_b: np.ndarray, sig_a: np.ndarray, sig_b: np.ndarray) -> np.ndarray:
-    """Upper bound of the intersection from the number of differing bits."""
-    return (size_a + size_b - np.bitwise_count(sig_a ^ sig_b).sum(-1, dtype=np.int64)) // 2
+def signatures(sets: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """A bitmap for each set: every shingle flips its slot's bit, so differing bits never exceed differing shingles.
+
+    The slot is the hash modulo the width, so a bitmap folds to half its width by exclusive-or of its halves.
+    """
+    size = np.diff(offsets)
+    bits = widths(size)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    slot = (mix64(sets + np.uint64(0x9E37)) >> np.uint64(24)).astype(np.int64) & (np.repeat(bits, size) - 1)
+    odd = (np.bincount(np.repeat(base[:-1], size) + slot, minlength=base[-1]) & 1).astype(np.uint8)
+    packed = np.packbits(odd, bitorder="little")
+    return [packed[a:b].tobytes() for a, b in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist())]
+
+
+def folded(sigs: list[bytes], bits: int) -> np.ndarray:
+    """Bitmaps of at least `bits` bits folded to that width, a row of 64-bit words each."""
+    out = np.empty((len(sigs), bits // 64), np.uint64)
+    for i, s in enumerate(sigs):
+        x = np.frombuffer(s, "<u8")
+        out[i] = x if len(x) == bits // 64 else np.bitwise_xor.reduce(x.reshape(-1, bits // 64), axis=0)
+    return out
+
+
+def may_link(size_a: np.ndarray, size_b: np.ndarray, sig_a: list[bytes], sig_b: list[bytes]) -> np.ndarray:
+    """False where sizes or the bitmap bound (|a| + |b| - differing bits) / 2 rule a link out."""
+    ok = DENOMINATOR * np.minimum(size_a, size_b) >= NUMERATOR * np.maximum(size_a, size_b)
+    width = np.minimum(widths(size_a), widths(size_b))
+    for w in np.unique(width[ok]).tolist():
+        rows = np.flatnonzero(ok & (width == w))
+        x, y = folded([sig_a[i] for i in rows.tolist()], w), folded([sig_b[i] for i in rows.tolist()], w)
+        differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+        ok[rows] = (size_a[rows] + size_b[rows] - differ) // 2 >= needed_overlap(size_a[rows], size_b[rows])
+    return ok
 
 
 def needed_overlap(size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -88,23 +116,23 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         yield a, b, sets, offs
 
 
-_PROFILE = "doc_id bigint, n_shingles bigint, node bigint, slice int, counts binary"
+_PROFILE = "doc_id bigint, n_shingles bigint, node bigint, signature binary, slice int, counts binary"
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node) of each document, and slices of the shingle sketch (slice, counts)."""
+    """(doc_id, n_shingles, node, signature) of each document, and slices of the shingle sketch (slice, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        names, types = ["doc_id", "n_shingles", "node", "slice", "counts"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names, types = ["doc_id", "n_shingles", "node", "signature", "slice", "counts"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
         for batch in batches:
             for a, b, sets, offs in _sets(batch.column(1)):
                 sketch += np.bincount((sets >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-                arrays = [batch.column(0)[a:b], pa.array(np.diff(offs), pa.int64()), pa.array(nodes_of(sets, offs), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(b - a, types[3]), pa.nulls(b - a, types[4])], names)
+                arrays = [batch.column(0)[a:b], pa.array(np.diff(offs), pa.int64()), pa.array(nodes_of(sets, offs), pa.int64()), pa.array(signatures(sets, offs), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(b - a, types[4]), pa.nulls(b - a, types[5])], names)
         if sketch.any():
             parts = [x.astype("<u8" if x.max() >> 32 else "<u4").tobytes() for x in np.split(sketch, 16)]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(16, t) for t in types[:3]), pa.array(range(16), types[3]), pa.array(parts, types[4])], names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(16, t) for t in types[:4]), pa.array(range(16), types[4]), pa.array(parts, types[5])], names)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _PROFILE)
 
@@ -296,7 +324,7 @@ def _in_bloom(words: np.ndarray, node: np.ndarray) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, filter_words) -> DataFrame:
-    """(node, size, signature, members) once for each node in the filter."""
+    """(node, members) once for each node in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = filter_words.value
@@ -307,39 +335,45 @@ def set_table(docs: DataFrame, filter_words) -> DataFrame:
                 pick = [i for i in np.flatnonzero((size > 0) & _in_bloom(words, node)).tolist() if not (int(node[i]) in seen or seen.add(int(node[i])))]
                 if len(seen) > 1 << 20:
                     seen.clear()
-                sig = signatures(sets, offs)
-                blobs = [sig[i].tobytes() for i in pick]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[pick], pa.int64()), pa.array(size[pick], pa.int64()), pa.array(blobs, pa.binary()), pa.array([sets[offs[i] : offs[i + 1]].tobytes() for i in pick], pa.binary())],
-                    ["node", "size", "signature", "members"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(node[pick], pa.int64()), pa.array([sets[offs[i] : offs[i + 1]].tobytes() for i in pick], pa.binary())], ["node", "members"])
+
+    return docs.select("text").mapInArrow(run, "node bigint, members binary").dropDuplicates(["node"])
+
+
+def prune(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b, times) that sizes and bitmaps do not rule out."""
+    x = nodes.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("signature").alias("ga"))
+    y = nodes.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("signature").alias("gb"))
+    near = DENOMINATOR * F.least("sa", "sb") >= NUMERATOR * F.greatest("sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = [batch.column(i).to_numpy() for i in (3, 4)]
+            keep = pa.array(may_link(*size, batch.column(5).to_pylist(), batch.column(6).to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(3)], ["a", "b", "times"])
 
-    rows = docs.select("text").mapInArrow(run, "node bigint, size bigint, signature binary, members binary")
-    return rows.dropDuplicates(["node"])
+    joined = pairs.join(x, "a").join(y, "b").where(near).select("a", "b", "times", "sa", "sb", "ga", "gb")
+    return joined.mapInArrow(run, "a bigint, b bigint, times bigint")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: bitmap bound first, then the exact intersection of sorted arrays."""
-    left = sets.select(F.col("node").alias("a"), F.struct("size", "signature", "members").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.struct("size", "signature", "members").alias("y"))
+def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by exact intersection of their sorted arrays. pairs must be a written table."""
+    words = docs.sparkSession.sparkContext.broadcast(bloom(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
+    sets = set_table(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            size_x, size_y = (c.field(0).to_numpy(zero_copy_only=False) for c in (x, y))
-            sig_x, sig_y = (np.frombuffer(b"".join(c.field(1).to_pylist()), "<u8").reshape(-1, SIGNATURE_WORDS) for c in (x, y))
-            need = needed_overlap(size_x, size_y)
-            ok = (DENOMINATOR * np.minimum(size_x, size_y) >= NUMERATOR * np.maximum(size_x, size_y)) & (overlap_bound(size_x, size_y, sig_x, sig_y) >= need)
-            mx, my = x.field(2), y.field(2)
-            for i in np.flatnonzero(ok):
-                p, q = np.frombuffer(mx[int(i)].as_buffer(), np.uint64), np.frombuffer(my[int(i)].as_buffer(), np.uint64)
+            ok = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 if len(p) > len(q):
                     p, q = q, p
                 at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                ok[i] = np.count_nonzero(q[at] == p) >= need[i]
+                ok[i] = np.count_nonzero(q[at] == p) >= needed_overlap(len(p), len(q))
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
+    left, right = sets.select(F.col("node").alias("a"), F.col("members").alias("x")), sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -348,27 +382,29 @@ def tiles(members: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         node, comp, size = (table.column(c).to_numpy() for c in ("node", "comp", "size"))
-        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u8").reshape(-1, SIGNATURE_WORDS)
+        sig = table.column("signature").to_pylist()
         order = np.lexsort((node, size))
-        node, comp, size, sig = node[order], comp[order], size[order], sig[order]
-        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        node, comp, size, sig = node[order], comp[order], size[order], [sig[i] for i in order]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for i in range(0, len(node), TILE):
-            rows = slice(i, i + TILE)
+            width = int(widths(size[i : i + 1])[0])  # the tile's least: every bitmap of the tile folds to it
+            left = folded(sig[i : i + TILE], width)
             for j in range(i, len(node), TILE):
                 if DENOMINATOR * size[min(i + TILE, len(node)) - 1] < NUMERATOR * size[j]:
-                    break  # the tile's smallest partner is too large already
-                cols = slice(j, j + TILE)
-                a, b = size[rows, None], size[None, cols]
-                may = (comp[rows, None] != comp[None, cols]) & (DENOMINATOR * np.minimum(a, b) >= NUMERATOR * np.maximum(a, b))
+                    break  # the smallest of this block is too large already
+                a, b = size[i : i + TILE, None], size[None, j : j + TILE]
+                may = (comp[i : i + TILE, None] != comp[None, j : j + TILE]) & (DENOMINATOR * a >= NUMERATOR * b)
                 if i == j:
                     may &= np.triu(np.ones(may.shape, bool), 1)
-                at = np.nonzero(may)
-                if len(at[0]):
-                    p, q = at[0] + i, at[1] + j
-                    ok = overlap_bound(size[p], size[q], sig[p], sig[q]) >= needed_overlap(size[p], size[q])
-                    found_a.append(np.minimum(node[p[ok]], node[q[ok]]))
-                    found_b.append(np.maximum(node[p[ok]], node[q[ok]]))
-        return pa.table({"a": pa.array(np.concatenate(found_a), pa.int64()), "b": pa.array(np.concatenate(found_b), pa.int64())})
+                p, q = np.nonzero(may)
+                if len(p):
+                    right = folded(sig[j : j + TILE], width)
+                    differ = np.concatenate([np.bitwise_count(left[p[k : k + 65536]] ^ right[q[k : k + 65536]]).sum(1, dtype=np.int64) for k in range(0, len(p), 65536)])
+                    p, q = p + i, q + j
+                    ok = (size[p] + size[q] - differ) // 2 >= needed_overlap(size[p], size[q])
+                    found.append((node[p[ok]], node[q[ok]]))
+        x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
 
     return members.groupBy("list").applyInArrow(run, "a bigint, b bigint")
 
@@ -390,14 +426,13 @@ def join(docs: DataFrame, salt_at: int = SALT_AT) -> DataFrame:
         below = least.alias("l").join(least.alias("h"), F.expr("l.list = h.list and h.band = l.band + 1"))
         across = across.unionByName(below.select(F.least("l.least", "h.least").alias("a"), F.greatest("l.least", "h.least").alias("b")))
         pairs = pairs.unionByName(across.where("a <> b").withColumn("times", F.lit(1).cast("long")))
-    pairs = materialise(pairs.groupBy("a", "b").agg(F.sum("times").alias("times")), "join-pairs")
+    light = profiled.where("n_shingles > 0").groupBy("node").agg(F.max("n_shingles").alias("size"), F.min("signature").alias("signature"))
+    nodes = materialise(light, "join-nodes")
+    pairs = materialise(prune(pairs.groupBy("a", "b").agg(F.sum("times").alias("times")), nodes), "join-pairs")
     members = listed.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("node"))
-    inside = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node"))
-    words = context.broadcast(bloom(inside))
-    sets = materialise(set_table(docs, words), "join-sets")
     # First each node against the leader it shares most lists with.
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
-    first = materialise(verify(best, sets), "join-links")
+    best = materialise(pairs.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")), "join-first")
+    first = materialise(verify(docs, best), "join-links")
     comps = components(first)
     # Then what lies between different components.
     name = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
@@ -405,9 +440,10 @@ def join(docs: DataFrame, salt_at: int = SALT_AT) -> DataFrame:
     rest = rest.where(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).select("a", "b")
     placed = members.join(comps, "node", "left").select("list", "node", F.coalesce("comp", "node").alias("comp"))
     open_lists = placed.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("list")
-    contested = placed.join(open_lists, "list", "left_semi").join(sets.select("node", "size", "signature"), "node")
-    more = rest.unionByName(tiles(contested.select("list", "node", "comp", "size", "signature"))).distinct()
-    second = materialise(verify(more, sets), "join-more-links")
+    contested = placed.join(open_lists, "list", "left_semi").join(nodes, "node")
+    more = rest.unionByName(tiles(contested.select("list", "node", "comp", "size", "signature"))).distinct().join(best, ["a", "b"], "left_anti")
+    more = materialise(more, "join-second")
+    second = first.limit(0) if more.isEmpty() else materialise(verify(docs, more), "join-more-links")
     if not second.isEmpty():
         comps = components(first.unionByName(second))
     rows = profiled.where("slice is null").select("doc_id", "n_shingles", "node")
