@@ -402,7 +402,11 @@ def tiles(members: DataFrame) -> DataFrame:
                     differ = np.concatenate([np.bitwise_count(left[p[k : k + 65536]] ^ right[q[k : k + 65536]]).sum(1, dtype=np.int64) for k in range(0, len(p), 65536)])
                     p, q = p + i, q + j
                     ok = (size[p] + size[q] - differ) // 2 >= needed_overlap(size[p], size[q])
-                    found.append((node[p[ok]], node[q[ok]]))
+                    p, q = p[ok], q[ok]
+                    for k in range(0, len(p), 4096):  # then at full width
+                        x, y = p[k : k + 4096], q[k : k + 4096]
+                        ok = may_link(size[x], size[y], [sig[r] for r in x.tolist()], [sig[r] for r in y.tolist()])
+                        found.append((node[x[ok]], node[y[ok]]))
         x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
 
