@@ -9,19 +9,19 @@ A document's set holds the 64-bit hashes of its distinct 5-word shingles. Two do
    order is by sketch class (common ones last), then hash. Those prefixes go, packed, to the partition of each shingle.
 3. A shingle's list of nodes is cut into size bands (factor 1.25; only the same or neighbouring bands can link). Each
    member is paired with its band's leader, leaders of neighbouring bands with each other: pairs grow in proportion to
-   the list, never with its square. Lists of three and more are kept for step 5.
-   Bitmaps, as wide as the size band asks, bound the overlap from above by (|x| + |y| - popcount(x xor y)) / 2 and
-   discard most chance pairs.
-4. Each node is checked against the leader it shares most lists with, by exact intersection of the sorted arrays. The
-   links found give first components.
-5. What is left are pairs of step 3 between different components, and lists that hold several components. Their
-   members meet in tiles of a size-ordered block against another, compared by bitmaps where components differ and sizes
-   allow a link; survivors are checked exactly and the components joined.
+   the list, never with its square. Lists of three and more are kept: those with the same least node become one group,
+   a node in it once, so a family of near copies is a few groups, not one for each shingle.
+4. In a group blocks of nodes meet in tiles. Bitmaps, as wide as the size band asks, bound the overlap from above by
+   (|x| + |y| - popcount(x xor y)) / 2. A tile yields each node's few best partners, not its pairs. These and the pairs of
+   step 3 that the bitmaps leave are checked by exact intersection of sorted arrays; links give first components.
+5. Two more rounds look only at groups that hold several components, at partners in other components, and with bitmaps
+   eight times as wide: first again the best few, then all that are left, which are the pairs close to the threshold.
+   Then every pair that could link lies in one component or has been checked exactly.
 
 Scale: texts are never shuffled. Prefixes are about a fifth of all shingles at 8 bytes each; sets (8 bytes a shingle)
 move only for nodes in some pair that the bitmaps left, chosen by a Bloom filter of fixed size. A shingle whose sketch count exceeds
 `salt_at` has its list split by node over several partitions; the leaders of the parts are then paired with the least
-of them. The driver receives the sketch and the filter, both of fixed size.
+of them. Groups of more than GROUP_ROWS nodes are dealt as pairs of blocks to several tasks. The driver receives the sketch and the filter, both of fixed size.
 
 Cases: null and blank texts have an empty set, no links, and are components of their own; repeated rows (same id) keep a
 row each; a null id takes part and is never the smallest unless alone; with fewer than five words the whole sequence is
@@ -47,7 +47,12 @@ NUMERATOR, DENOMINATOR = 4, 5
 SKETCH_BITS = 18
 BLOOM_BITS = 23
 LEAST_BITS = 512
+#: Bits of the bitmaps for each shingle: in the first round, and in the later ones.
+NARROW, WIDE = 1, 8
 TILE = 512
+GROUP_ROWS = 4096
+#: Best partners of a node in each group: in the first and in the second round.
+FEW, MORE = 2, 8
 SALT_AT = 1 << 16
 
 
@@ -64,18 +69,18 @@ def nodes_of(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def widths(size: np.ndarray) -> np.ndarray:
-    """Bits of a set's bitmap: the power of two at or above its size, LEAST_BITS at least."""
-    return np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+def widths(size: np.ndarray, factor: int = NARROW) -> np.ndarray:
+    """Bits of a set's bitmap: the power of two at or above factor times its size, LEAST_BITS at least."""
+    return np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(factor * size, 1))).astype(np.int64))
 
 
-def signatures(sets: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+def signatures(sets: np.ndarray, offsets: np.ndarray, factor: int = NARROW) -> list[bytes]:
     """A bitmap for each set: every shingle flips its slot's bit, so differing bits never exceed differing shingles.
 
     The slot is the hash modulo the width, so a bitmap folds to half its width by exclusive-or of its halves.
     """
     size = np.diff(offsets)
-    bits = widths(size)
+    bits = widths(size, factor)
     base = np.concatenate([[0], np.cumsum(bits)])
     slot = (mix64(sets + np.uint64(0x9E37)) >> np.uint64(24)).astype(np.int64) & (np.repeat(bits, size) - 1)
     odd = (np.bincount(np.repeat(base[:-1], size) + slot, minlength=base[-1]) & 1).astype(np.uint8)
@@ -92,16 +97,17 @@ def folded(sigs: list[bytes], bits: int) -> np.ndarray:
     return out
 
 
-def may_link(size_a: np.ndarray, size_b: np.ndarray, sig_a: list[bytes], sig_b: list[bytes]) -> np.ndarray:
-    """False where sizes or the bitmap bound (|a| + |b| - differing bits) / 2 rule a link out."""
-    ok = DENOMINATOR * np.minimum(size_a, size_b) >= NUMERATOR * np.maximum(size_a, size_b)
-    width = np.minimum(widths(size_a), widths(size_b))
-    for w in np.unique(width[ok]).tolist():
-        rows = np.flatnonzero(ok & (width == w))
+def slack(size_a: np.ndarray, size_b: np.ndarray, sig_a: list[bytes], sig_b: list[bytes], factor: int = NARROW) -> np.ndarray:
+    """By how much the bitmap bound (|a| + |b| - differing bits) / 2 exceeds the least overlap; negative where no link is possible."""
+    out = np.full(len(size_a), -1, np.int64)
+    near = DENOMINATOR * np.minimum(size_a, size_b) >= NUMERATOR * np.maximum(size_a, size_b)
+    width = np.minimum(widths(size_a, factor), widths(size_b, factor))
+    for w in np.unique(width[near]).tolist():
+        rows = np.flatnonzero(near & (width == w))
         x, y = folded([sig_a[i] for i in rows.tolist()], w), folded([sig_b[i] for i in rows.tolist()], w)
         differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-        ok[rows] = (size_a[rows] + size_b[rows] - differ) // 2 >= needed_overlap(size_a[rows], size_b[rows])
-    return ok
+        out[rows] = (size_a[rows] + size_b[rows] - differ) // 2 - needed_overlap(size_a[rows], size_b[rows])
+    return out
 
 
 def needed_overlap(size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -323,11 +329,12 @@ def _in_bloom(words: np.ndarray, node: np.ndarray) -> np.ndarray:
     return ok
 
 
-def set_table(docs: DataFrame, filter_words) -> DataFrame:
-    """(node, members) once for each node in the filter."""
+def set_table(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, size, signature, members) once for each node of the pairs; the bitmaps are the wide ones."""
+    words_of = docs.sparkSession.sparkContext.broadcast(bloom(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = filter_words.value
+        words = words_of.value
         seen: set[int] = set()
         for batch in batches:
             for _, _, sets, offs in _sets(batch.column(0)):
@@ -335,31 +342,35 @@ def set_table(docs: DataFrame, filter_words) -> DataFrame:
                 pick = [i for i in np.flatnonzero((size > 0) & _in_bloom(words, node)).tolist() if not (int(node[i]) in seen or seen.add(int(node[i])))]
                 if len(seen) > 1 << 20:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(node[pick], pa.int64()), pa.array([sets[offs[i] : offs[i + 1]].tobytes() for i in pick], pa.binary())], ["node", "members"])
+                members = [sets[offs[i] : offs[i + 1]] for i in pick]
+                cut = np.concatenate([[0], np.cumsum(size[pick])]).astype(np.int64)
+                sigs = signatures(np.concatenate(members) if members else np.zeros(0, np.uint64), cut, WIDE)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node[pick], pa.int64()), pa.array(size[pick], pa.int64()), pa.array(sigs, pa.binary()), pa.array([m.tobytes() for m in members], pa.binary())],
+                    ["node", "size", "signature", "members"],
+                )
 
-    return docs.select("text").mapInArrow(run, "node bigint, members binary").dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(run, "node bigint, size bigint, signature binary, members binary").dropDuplicates(["node"])
 
 
 def prune(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b, times) that sizes and bitmaps do not rule out."""
+    """The pairs (a, b) that sizes and bitmaps do not rule out."""
     x = nodes.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("signature").alias("ga"))
     y = nodes.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("signature").alias("gb"))
     near = DENOMINATOR * F.least("sa", "sb") >= NUMERATOR * F.greatest("sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = [batch.column(i).to_numpy() for i in (3, 4)]
-            keep = pa.array(may_link(*size, batch.column(5).to_pylist(), batch.column(6).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(3)], ["a", "b", "times"])
+            size = [batch.column(i).to_numpy() for i in (2, 3)]
+            keep = pa.array(slack(*size, batch.column(4).to_pylist(), batch.column(5).to_pylist()) >= 0)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(2)], ["a", "b"])
 
-    joined = pairs.join(x, "a").join(y, "b").where(near).select("a", "b", "times", "sa", "sb", "ga", "gb")
-    return joined.mapInArrow(run, "a bigint, b bigint, times bigint")
+    joined = pairs.join(x, "a").join(y, "b").where(near).select("a", "b", "sa", "sb", "ga", "gb")
+    return joined.mapInArrow(run, "a bigint, b bigint")
 
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by exact intersection of their sorted arrays. pairs must be a written table."""
-    words = docs.sparkSession.sparkContext.broadcast(bloom(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
-    sets = set_table(docs, words)
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by exact intersection of their sorted arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,40 +388,79 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def tiles(members: DataFrame) -> DataFrame:
-    """members: (list, node, comp, size, signature) of lists with several components. Pairs across components that may link."""
+_GROUP = "a bigint, b bigint"
+
+
+def tiles(members: DataFrame, factor: int, best: int | None) -> DataFrame:
+    """members: (list, node, comp, size, signature, lists). Pairs (a, b) across components that may link: each node's `best` partners, or all.
+
+    A pair is looked at in the least list that both nodes are in. Lists of many nodes are cut into blocks by hashed node and
+    dealt as pairs of blocks.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        node, comp, size = (table.column(c).to_numpy() for c in ("node", "comp", "size"))
-        sig = table.column("signature").to_pylist()
+        node, comp, size, block = (table.column(c).to_numpy() for c in ("node", "comp", "size", "block"))
+        sig, lists_of = table.column("signature").to_pylist(), table.column("lists").to_pylist()
+        own, (one, two) = table.column("list")[0].as_py(), (table.column(c)[0].as_py() for c in ("one", "two"))
         order = np.lexsort((node, size))
-        node, comp, size, sig = node[order], comp[order], size[order], [sig[i] for i in order]
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        node, comp, size, block = node[order], comp[order], size[order], block[order]
+        sig, lists_of = [sig[i] for i in order], [frozenset(lists_of[i]) for i in order]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for i in range(0, len(node), TILE):
-            width = int(widths(size[i : i + 1])[0])  # the tile's least: every bitmap of the tile folds to it
+            width = int(widths(size[i : i + 1], factor)[0])  # the tile's least: every bitmap of the tile folds to it
             left = folded(sig[i : i + TILE], width)
             for j in range(i, len(node), TILE):
                 if DENOMINATOR * size[min(i + TILE, len(node)) - 1] < NUMERATOR * size[j]:
                     break  # the smallest of this block is too large already
                 a, b = size[i : i + TILE, None], size[None, j : j + TILE]
                 may = (comp[i : i + TILE, None] != comp[None, j : j + TILE]) & (DENOMINATOR * a >= NUMERATOR * b)
+                if one != two:
+                    may &= block[i : i + TILE, None] != block[None, j : j + TILE]
                 if i == j:
                     may &= np.triu(np.ones(may.shape, bool), 1)
                 p, q = np.nonzero(may)
-                if len(p):
-                    right = folded(sig[j : j + TILE], width)
-                    differ = np.concatenate([np.bitwise_count(left[p[k : k + 65536]] ^ right[q[k : k + 65536]]).sum(1, dtype=np.int64) for k in range(0, len(p), 65536)])
-                    p, q = p + i, q + j
-                    ok = (size[p] + size[q] - differ) // 2 >= needed_overlap(size[p], size[q])
-                    p, q = p[ok], q[ok]
-                    for k in range(0, len(p), 4096):  # then at full width
-                        x, y = p[k : k + 4096], q[k : k + 4096]
-                        ok = may_link(size[x], size[y], [sig[r] for r in x.tolist()], [sig[r] for r in y.tolist()])
-                        found.append((node[x[ok]], node[y[ok]]))
-        x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
-
-    return members.groupBy("list").applyInArrow(run, "a bigint, b bigint")
+                if not len(p):
+                    continue
+                right = folded(sig[j : j + TILE], width)
+                differ = np.concatenate([np.bitwise_count(left[p[k : k + 65536]] ^ right[q[k : k + 65536]]).sum(1, dtype=np.int64) for k in range(0, len(p), 65536)])
+                p, q = p + i, q + j
+                rest = (size[p] + size[q] - differ) // 2 - needed_overlap(size[p], size[q])
+                p, q = p[rest >= 0], q[rest >= 0]
+                for k in range(0, len(p), 4096):  # then at full width
+                    x, y = p[k : k + 4096], q[k : k + 4096]
+                    rest = slack(size[x], size[y], [sig[r] for r in x.tolist()], [sig[r] for r in y.tolist()], factor)
+                    ok = rest >= 0
+                    ok[ok] = [min(lists_of[u] & lists_of[v]) == own for u, v in zip(x[ok].tolist(), y[ok].tolist())]
+                    found.append((x[ok], y[ok], rest[ok]))
+        x, y, rest = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+        if best is not None and len(x):
+            # Each end's best partners, by slack, ties to the lower node.
+            end, other, value = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([rest, rest])
+            order = np.lexsort((node[other], -value, end))
+            end, other = end[order], other[order]
+            start = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
+            place = np.arange(len(end)) - np.repeat(start, np.diff(np.append(start, len(end))))
+            x, y = end[place < best], other[place < best]
+        low, high = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+        pairs = np.unique(np.stack([low, high]), axis=1) if len(low) else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
+    sizes = members.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("blocks"))
+    placed = members.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("one", F.least("block", "with")).withColumn("two", F.greatest("block", "with"))
+    return dealt.groupBy("list", "one", "two").applyInArrow(run, _GROUP)
+
+
+def _contested(groups: DataFrame, comps: DataFrame | None, facts: DataFrame) -> DataFrame:
+    """Rows of groups with several components, with what tiles() needs; without comps every node is a component."""
+    if comps is None:
+        placed = groups.withColumn("comp", F.col("node"))
+    else:
+        placed = groups.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        several = placed.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("list")
+        placed = placed.join(several, "list", "left_semi")
+    return placed.join(facts.select("node", "size", "signature"), "node").select("list", "node", "comp", "size", "signature", "lists")
 
 
 def join(docs: DataFrame, salt_at: int = SALT_AT) -> DataFrame:
@@ -432,27 +482,31 @@ def join(docs: DataFrame, salt_at: int = SALT_AT) -> DataFrame:
         pairs = pairs.unionByName(across.where("a <> b").withColumn("times", F.lit(1).cast("long")))
     light = profiled.where("n_shingles > 0").groupBy("node").agg(F.max("n_shingles").alias("size"), F.min("signature").alias("signature"))
     nodes = materialise(light, "join-nodes")
-    pairs = materialise(prune(pairs.groupBy("a", "b").agg(F.sum("times").alias("times")), nodes), "join-pairs")
+    # Lists with the same least node are one group; each node knows the groups it is in.
     members = listed.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("node"))
-    # First each node against the leader it shares most lists with.
-    best = materialise(pairs.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")), "join-first")
-    first = materialise(verify(docs, best), "join-links")
-    comps = components(first)
-    # Then what lies between different components.
-    name = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
-    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(name("a"), "a", "left").join(name("b"), "b", "left")
-    rest = rest.where(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).select("a", "b")
-    placed = members.join(comps, "node", "left").select("list", "node", F.coalesce("comp", "node").alias("comp"))
-    open_lists = placed.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("list")
-    contested = placed.join(open_lists, "list", "left_semi").join(nodes, "node")
-    more = rest.unionByName(tiles(contested.select("list", "node", "comp", "size", "signature"))).distinct().join(best, ["a", "b"], "left_anti")
-    more = materialise(more, "join-second")
-    second = first.limit(0) if more.isEmpty() else materialise(verify(docs, more), "join-more-links")
-    if not second.isEmpty():
-        comps = components(first.unionByName(second))
+    heads = members.groupBy("list").agg(F.min("node").alias("head"))
+    grouped = members.join(heads, "list").select(F.col("head").alias("list"), "node").distinct()
+    lists_of = grouped.groupBy("node").agg(F.collect_list("list").alias("lists"))
+    groups = materialise(grouped.join(lists_of, "node"), "join-groups")
+    # First round: every node is a component of its own.
+    asked = materialise(prune(pairs.select("a", "b").distinct(), nodes).unionByName(tiles(_contested(groups, None, nodes), NARROW, FEW)).distinct(), "join-asked")
+    sets = materialise(set_table(docs, asked), "join-sets")
+    links = materialise(verify(asked, sets), "join-links")
+    comps = components(links)
+    groups = groups.join(sets.select("node"), "node", "left_semi")
+    for best in (MORE, None):
+        found = tiles(_contested(groups, comps, sets), WIDE, best)
+        more = materialise(found.join(asked, ["a", "b"], "left_anti"), "join-asked")
+        if more.isEmpty():
+            continue
+        added = materialise(verify(more, sets), "join-links")
+        asked = asked.unionByName(more)
+        if not added.isEmpty():
+            links = links.unionByName(added)
+            comps = components(links)
     rows = profiled.where("slice is null").select("doc_id", "n_shingles", "node")
-    heads = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("head"))
-    joined = heads.join(comps, "node", "left").select("node", "head", F.coalesce("comp", "node").alias("comp"))
+    first = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("head"))
+    joined = first.join(comps, "node", "left").select("node", "head", F.coalesce("comp", "node").alias("comp"))
     least = joined.groupBy("comp").agg(F.min("head").alias("component_id"))
     ids = joined.join(least, "comp").select("node", "component_id")
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
