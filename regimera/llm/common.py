@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import tempfile
 import uuid
@@ -32,11 +33,44 @@ def shared_dir(spark: SparkSession) -> str:
 _LOCAL: str | None = None
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most `rows` rows for the jobs run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+_written: list[str] = []
+
+
+def written_since(mark: int) -> list[str]:
+    """Paths of the tables written after the first `mark` ones."""
+    return _written[mark:]
+
+
+def n_written() -> int:
+    return len(_written)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing will read again."""
+    context = spark.sparkContext
+    for p in paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there and a lost executor costs no rework."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

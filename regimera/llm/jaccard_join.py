@@ -3,10 +3,11 @@
 A document's set holds the 64-bit hashes of its distinct 5-word shingles. Two documents link when their sets overlap in
 80 % of the union or more. Linked documents form components; no link between different texts is lost.
 
-1. Every set gets a digest (its node): exact copies are one node from here on. A sketch of fixed size counts shingles
-   by hashed slot over all documents; slots far above the mean mark the passages that many documents share.
+1. Every set gets a digest (its node): exact copies are one node from here on. Two sketches of fixed size count shingles
+   and words by hashed slot over all documents. Shingle slots far above the mean mark the passages that many documents
+   share; the word counts tell how often a shingle is to be expected by chance.
 2. Sets that link share one of the first n - ceil(0.8 n) + 1 shingles of each, in any one order of all shingles; the
-   order is by sketch class (common ones last), then hash. Those prefixes go, packed, to the partition of each shingle.
+   order is by expected frequency (common ones last), then hash. Those prefixes go, packed, to the partition of each shingle.
 3. A shingle's list of nodes is cut into size bands (factor 1.25; only the same or neighbouring bands can link). Each
    member is paired with its band's leader, leaders of neighbouring bands with each other: pairs grow in proportion to
    the list, never with its square. Lists of three and more are kept: those with the same least node become one group,
@@ -37,9 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from .common import arrow_rows, materialise, ship
 from .components import components
-from .textkernel import Words, chunks, mix64, shingle_sets
+from .textkernel import Words, chunks, give_back, lean, mix64, shingle_sets
 
 SIZE = 5
 #: Links need NUMERATOR / DENOMINATOR of the union.
@@ -51,6 +52,8 @@ LEAST_BITS = 512
 NARROW, WIDE = 1, 8
 TILE = 512
 GROUP_ROWS = 4096
+#: Rows in an Arrow batch: texts and sets are wide.
+BATCH_ROWS = 1000
 #: Best partners of a node in each group: in the first and in the second round.
 FEW, MORE = 2, 8
 SALT_AT = 1 << 16
@@ -129,44 +132,58 @@ def profile(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, node, signature) of each document, and slices of the shingle sketch (slice, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        half_size = 1 << SKETCH_BITS  # shingles, then words
+        sketch = np.zeros(2 * half_size, np.int64)
         names, types = ["doc_id", "n_shingles", "node", "signature", "slice", "counts"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
         for batch in batches:
-            for a, b, sets, offs in _sets(batch.column(1)):
-                sketch += np.bincount((sets >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+            for a, b, data, offsets in chunks(batch.column(1)):
+                words = Words(data, offsets)
+                sets, offs = shingle_sets(words, SIZE)
+                for half, hashes in ((0, sets), (half_size, words.hash)):
+                    slots, n = np.unique((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
+                    sketch[half + slots] += n
                 arrays = [batch.column(0)[a:b], pa.array(np.diff(offs), pa.int64()), pa.array(nodes_of(sets, offs), pa.int64()), pa.array(signatures(sets, offs), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(b - a, types[4]), pa.nulls(b - a, types[5])], names)
         if sketch.any():
             parts = [x.astype("<u8" if x.max() >> 32 else "<u4").tobytes() for x in np.split(sketch, 16)]
             yield pa.RecordBatch.from_arrays([*(pa.nulls(16, t) for t in types[:4]), pa.array(range(16), types[4]), pa.array(parts, types[5])], names)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _PROFILE)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lean(run), _PROFILE)
 
 
 def read_sketch(profiled: DataFrame) -> np.ndarray:
-    """The sketch summed over all tasks, slice by slice; 2**SKETCH_BITS counts reach the driver."""
-    width = (1 << SKETCH_BITS) // 16
+    """The sketches (shingles, words) summed over all tasks, slice by slice; twice 2**SKETCH_BITS counts reach the driver."""
+    width = (2 << SKETCH_BITS) // 16
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(width, np.int64)
         for x in table.column("counts"):
             raw = x.as_py()
             total += np.frombuffer(raw, "<u8" if len(raw) == 8 * width else "<u4").astype(np.int64)
+        give_back()
         return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    out = np.zeros(2 << SKETCH_BITS, np.int64)
     rows = profiled.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
     for r in rows:
         out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(bytes(r["counts"]), np.int64)
-    return out
+    return out.reshape(2, -1)
+
 
+def classes_of(sketch: np.ndarray, salt_at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(frequency class of each shingle slot, bits of salt, cost of each word slot in quarter bits, words in quarter bits).
 
-def classes_of(sketch: np.ndarray, salt_at: int) -> tuple[np.ndarray, np.ndarray]:
-    """(frequency class, bits of salt) of each slot; class 0 up to four times the mean."""
-    mean = max(1.0, sketch.mean())
-    rank = np.clip(np.floor(2 * np.log2(np.maximum(sketch, 1) / (4 * mean))) + 1, 0, 255).astype(np.uint8)
-    salt = np.where(rank > 0, np.ceil(np.log2(np.maximum(sketch, 1) / salt_at)), 0)
-    return rank, np.clip(salt, 0, 12).astype(np.uint8)
+    A class counts half powers of two of the expected number of documents; 0 is for slots up to four times the mean. A word's
+    cost is minus the logarithm of its share of all words.
+    """
+    shingle, word = sketch
+    mean = max(1.0, shingle.mean())
+    much = shingle > 4 * mean
+    rank = np.where(much, np.floor(2 * np.log2(np.maximum(shingle, 1))), 0).astype(np.uint8)
+    salt = np.where(much, np.ceil(np.log2(np.maximum(shingle, 1) / salt_at)), 0)
+    total = max(1, int(word.sum()))
+    cost = np.clip(np.round(4 * np.log2(total / np.maximum(word, 1))), 0, 255).astype(np.uint8)
+    return rank, np.clip(salt, 0, 12).astype(np.uint8), cost, 4 * float(np.log2(total))
 
 
 def bucket_bits(df: DataFrame) -> int:
@@ -177,7 +194,7 @@ def prefixes(docs: DataFrame, shared, bits: int) -> DataFrame:
     """Packed prefix lists by bucket of the shingle: (bucket, blob)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, salting = shared.value
+        rank, salting, cost, whole = shared.value
         seen: set[int] = set()
         held: list[tuple[np.ndarray, ...]] = []
 
@@ -199,11 +216,15 @@ def prefixes(docs: DataFrame, shared, bits: int) -> DataFrame:
 
         total = 0
         for batch in batches:
-            for _, _, sets, offs in _sets(batch.column(0)):
+            for _, _, data, offsets in chunks(batch.column(0)):
+                words = Words(data, offsets)
+                sets, offs, paid = shingle_sets(words, SIZE, cost[(words.hash >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])
                 size, node = np.diff(offs), nodes_of(sets, offs)
                 fresh = np.array([s > 0 and not (x in seen or seen.add(x)) for x, s in zip(node.tolist(), size.tolist())], bool)
                 doc = np.repeat(np.arange(len(size)), size)
-                key = doc * 256 + rank[(sets >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                # Half powers of two of the count to be expected by chance, from a sixteenth on.
+                chance = np.clip(np.floor((whole - paid) / 2) + 8, 0, 255).astype(np.int64)
+                key = doc * 256 + np.maximum(chance, rank[(sets >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])
                 order = np.argsort(key, kind="stable")  # within a class the hashes are sorted already
                 place = np.arange(len(sets)) - np.repeat(offs[:-1], size)
                 length = size + 1 - -(-NUMERATOR * size // DENOMINATOR)
@@ -218,7 +239,7 @@ def prefixes(docs: DataFrame, shared, bits: int) -> DataFrame:
         if held:
             yield send()
 
-    return docs.select("text").mapInArrow(run, "bucket bigint, blob binary")
+    return docs.select("text").mapInArrow(lean(run), "bucket bigint, blob binary")
 
 
 def _unpack(blobs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -350,7 +371,7 @@ def set_table(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     ["node", "size", "signature", "members"],
                 )
 
-    return docs.select("text").mapInArrow(run, "node bigint, size bigint, signature binary, members binary").dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(lean(run), "node bigint, size bigint, signature binary, members binary").dropDuplicates(["node"])
 
 
 def prune(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -366,7 +387,7 @@ def prune(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(2)], ["a", "b"])
 
     joined = pairs.join(x, "a").join(y, "b").where(near).select("a", "b", "sa", "sb", "ga", "gb")
-    return joined.mapInArrow(run, "a bigint, b bigint")
+    return joined.mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -385,7 +406,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     left, right = sets.select(F.col("node").alias("a"), F.col("members").alias("x")), sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 _GROUP = "a bigint, b bigint"
@@ -443,6 +464,8 @@ def tiles(members: DataFrame, factor: int, best: int | None) -> DataFrame:
             x, y = end[place < best], other[place < best]
         low, high = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
         pairs = np.unique(np.stack([low, high]), axis=1) if len(low) else np.zeros((2, 0), np.int64)
+        if len(node) > TILE:
+            give_back()
         return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
     sizes = members.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("blocks"))
@@ -467,10 +490,17 @@ def join(docs: DataFrame, salt_at: int = SALT_AT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
+    with arrow_rows(spark, BATCH_ROWS):
+        return _join(docs, salt_at)
+
+
+def _join(docs: DataFrame, salt_at: int) -> DataFrame:
+    """All steps with Python in them end in a written table; what is returned are joins of such tables."""
+    spark = docs.sparkSession
     context, bits = spark.sparkContext, bucket_bits(docs)
     profiled = materialise(profile(docs), "join-profile")
-    rank, salting = classes_of(read_sketch(profiled), salt_at)
-    packed = prefixes(docs, context.broadcast((rank, salting)), bits)
+    rank, salting, cost, whole = classes_of(read_sketch(profiled), salt_at)
+    packed = prefixes(docs, context.broadcast((rank, salting, cost, whole)), bits)
     listed = materialise(lists(packed, salting > 0), "join-lists")
     pairs = listed.where("kind = 0").select("a", "b", "times")
     if (salting > 0).any():

@@ -203,7 +203,8 @@ def judge(
     limits = found.groupBy("stratum").agg(
         F.array(*[F.min(F.when(F.col("rule") == i, F.col("cutoff"))) for i in range(len(RULES))]).alias("limits")
     )
-    judged = facts.join(limits, "stratum", "left")
+    # Written, so that its size is known: a few strata are then broadcast below the engine's threshold.
+    judged = facts.join(materialise(limits, "quality-limits"), "stratum", "left")
     hit = F.exists(F.arrays_zip("stats", "limits"), lambda x: F.coalesce(x["stats"] >= x["limits"], F.lit(False)))
     bad = F.col("base_failed") | F.coalesce(hit, F.lit(False))
     return judged.select(

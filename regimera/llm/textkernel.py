@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once (one document may be longer).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 _M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -38,6 +40,28 @@ def _power(name: str, n: int) -> np.ndarray:
     return have[:n]
 
 
+def lean(run):
+    """Wraps a batch function so that its worker gives free memory back to the system when a task ends; workers outlive tasks."""
+
+    def wrapped(*args):
+        try:
+            out = run(*args)
+            if isinstance(out, Iterator):
+                yield from out
+            else:
+                yield out
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64."""
     x = x ^ (x >> np.uint64(33))
@@ -135,13 +159,27 @@ def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return out, owner
 
 
-def shingle_sets(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each document in turn, and the offsets of each document's run."""
+def shingle_sets(words: Words, size: int = 5, weight: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Sorted distinct shingle hashes of each document in turn, and the offsets of each document's run.
+
+    With a weight for each word, also each shingle's sum of weights (0 for a document shorter than a shingle).
+    """
     h, doc = shingles(words, size)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
+    fresh = np.ones(len(h), bool)
     if len(h):
-        fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
         h, doc = h[fresh], doc[fresh]
-    return h, np.searchsorted(doc, np.arange(len(words.first)))
+    offsets = np.searchsorted(doc, np.arange(len(words.first)))
+    if weight is None:
+        return h, offsets
+    n = len(words.hash)
+    sums = np.concatenate([[0], np.cumsum(weight, dtype=np.int64)])
+    total, first = sums[size:] - sums[: n - size + 1] if n >= size else np.zeros(0, np.int64), words.doc[: max(0, n - size + 1)]
+    total = total[first == words.doc[size - 1 :]] if n >= size else total
+    short = np.flatnonzero((words.counts > 0) & (words.counts < size))
+    if len(short):
+        owner = np.concatenate([first[first == words.doc[size - 1 :]] if n >= size else np.zeros(0, np.int64), short])
+        total = np.concatenate([total, np.zeros(len(short), np.int64)])[np.argsort(owner, kind="stable")]
+    return h, offsets, total[order][fresh]
