@@ -6,34 +6,58 @@ one's docs. Every stage works on all rows its predecessor kept; all but the last
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regimera.llm import jaccard_join, mixing, quality_rules, registry, secret_scan, sentencepiece_ac
-from regimera.llm.common import materialise, table
+from regimera.llm.common import discard, materialise, n_written, table, written_since
+
+_left: dict[str, list[str]] = {}
+
+
+def staged(f):
+    """Deletes the tables that the stage before wrote for itself: its result has been written by now."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = spark.sparkContext.applicationId
+        discard(spark, _left.pop(key, []))
+        mark = n_written()
+        out = f(spark, docs, sf_dir)
+        _left[key] = written_since(mark)
+        return out
+
+    return run_stage
 
 
+@staged
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the risk-controlled rules."""
     judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
     return judged.where("kept").select(docs.columns)
 
 
+@staged
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     return jaccard_join.one_of_each(docs)
 
 
+@staged
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with secrets replaced by a mark."""
     return secret_scan.redact(docs)
 
 
+@staged
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the shares of the target weights; repeats are repeated rows."""
     return mixing.mixed_documents(docs)
 
 
+@staged
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document."""
     encoded = sentencepiece_ac.encode(docs, sentencepiece_ac.load_pieces(registry.PIECE_MODEL))
@@ -54,5 +78,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        result = stage(spark, docs, sf_dir)
+        docs = materialise(result, "stage-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
