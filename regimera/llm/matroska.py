@@ -88,6 +88,8 @@ def write(payload: bytes) -> bytes:
         for k, b in enumerate(range(c, min(c + per, len(frames)), FRAMES_PER_BLOCK)):
             group = frames[b : b + FRAMES_PER_BLOCK]
             kind = 0 if len(group) == 1 else (2, 3, 1)[k % 3]
+            if kind == 2 and len(group[-1]) != len(group[0]):
+                kind = 3
             head = b"\x81" + ((b - c) * FRAME_MS).to_bytes(2, "big") + bytes([0x80 | kind << 1])
             parts.append(_element(SIMPLE_BLOCK, head + (_laced(group, kind) if kind else group[0])))
         cluster = _element(CLUSTER, b"".join(parts))
