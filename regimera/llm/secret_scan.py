@@ -135,16 +135,16 @@ def redact(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] =
     """docs with every base span and every owned token replaced by `mark`; n_chars follows where it exists.
 
     Base kinds are redacted in place; generic values that few owners carry are looked up by an equi-join for the
-    rows that hold such tokens at all, so the texts of the others are neither written nor shuffled.
+    rows that hold such tokens at all, so the texts of the others are not shuffled.
     """
     base, generic = candidates(F.col("text"))
     cols = docs.columns
     rows = docs.select(F.struct(*cols).alias("row"), F.col("text").alias("text"), F.coalesce(F.concat(F.lit("s"), F.col(owner).cast("string")), F.lit("n")).alias("owner"))
     rows = rows.select("row", "owner", base.alias("base"), generic.alias("generic"))
     free = F.filter("generic", lambda g: ~F.exists("base", lambda b: (b["start"] < g["end"]) & (g["start"] < b["end"])))
-    rows = rows.withColumn("generic", free)
-    # Only rows with generic tokens are written; the others are searched a second time instead.
-    some = materialise(rows.where(F.size("generic") > 0).withColumn("rid", F.monotonically_increasing_id()), "secret-rows")
+    # Written once with the spans: searching again in each branch makes code too large for the compiler's memory.
+    rows = materialise(rows.withColumn("generic", free).withColumn("rid", F.monotonically_increasing_id()), "secret-rows")
+    some = rows.where(F.size("generic") > 0)
     spread = some.select("rid", "owner", F.explode("generic").alias("span"))
     spread = spread.withColumn("value", F.col("span.value"))
     tally = spread.select("value", "owner").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("owners"))
