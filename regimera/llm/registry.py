@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_template, jaccard_join, lm_lbl, matroska, mixing, quality_fm, quality_rules, secret_scan, sentencepiece_ac, token_count
+from . import html_template, jaccard_join, lm_lbl, matroska, mixing, oracles, quality_fm, quality_rules, secret_scan, sentencepiece_ac, token_count
 from .common import table
 
 try:  # the folder of the public tokenizer files, if it is a package here
@@ -72,4 +72,7 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": oracles.QUALITY_RULES,
+    "op2_jaccard_join": oracles.JACCARD_JOIN,
+}
