@@ -127,7 +127,21 @@ def clip_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def preprocess(df: DataFrame, columns: list[str], order: list[str], unit: list[str] | None = None) -> DataFrame:
-    return clip_outliers(zscore(impute(df, columns, order, unit), columns), columns)
+    """impute, zscore, clip_outliers with one pass for all statistics: quartiles of z follow from those of x.
+
+    The filled table is cached, as it is read for the statistics and again for the result.
+    """
+    filled = impute(df, columns, order, unit).cache()
+    q = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{c}") for c in columns]
+    stats = filled.agg(*q).crossJoin(scaler(filled, columns))  # one row each
+    joined = filled.crossJoin(F.broadcast(stats))
+
+    def done(c: str) -> Column:
+        z = lambda x: (x - F.col(f"mean_{c}")) / F.col(f"std_{c}")
+        lo, hi = z(F.get(f"_q_{c}", 0)), z(F.get(f"_q_{c}", 1))
+        return F.least(F.greatest(z(F.col(c)), F.greatest(lo - 1.5 * (hi - lo), F.lit(-3.0))), F.least(hi + 1.5 * (hi - lo), F.lit(3.0)))
+
+    return joined.select(*[done(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def regimes(df: DataFrame, settings: list[str], most: int = 6) -> DataFrame:
