@@ -52,6 +52,8 @@ LEAST_BITS = 512
 NARROW, WIDE = 1, 8
 TILE = 512
 GROUP_ROWS = 4096
+#: Most ids that are broadcast to drop their documents.
+BROADCAST_IDS = 1 << 20
 #: Rows in an Arrow batch: texts and sets are wide.
 BATCH_ROWS = 1000
 #: Best partners of a node in each group: in the first and in the second round.
@@ -543,10 +545,15 @@ def _join(docs: DataFrame, salt_at: int) -> DataFrame:
     return rows.where("n_shingles > 0").join(ids, "node").select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
-def one_of_each(docs: DataFrame, salt_at: int = SALT_AT) -> DataFrame:
-    """docs with only the smallest id of each component; of rows that repeat an id one stays. Rows without an id all stay."""
+def one_of_each(docs: DataFrame, salt_at: int = SALT_AT, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """docs with only the smallest id of each component; of rows that repeat an id one stays. Rows without an id all stay.
+
+    The ids to drop are counted first: up to broadcast_ids of them (8 bytes each) are broadcast, more are joined by a shuffle.
+    """
     found = materialise(join(docs, salt_at), "join-components")
-    away = found.where("doc_id <> component_id").select("doc_id").distinct()
+    away = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "join-away")
+    if away.count() <= broadcast_ids:
+        away = F.broadcast(away)
     left = docs.join(away, "doc_id", "left_anti").select(docs.columns)
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():

@@ -192,6 +192,8 @@ def test_one_of_each(docs):
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
     assert sorted(ids) == sorted({c for _, _, c in brute_components(corpus())})
+    shuffled = jaccard_join.one_of_each(docs, broadcast_ids=0).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in shuffled) == sorted(ids)
 
 
 def test_bitmap_bound():
