@@ -225,23 +225,29 @@ def test_stream(spark, tmp_path):
         assert [got[k][s] for s in ("mean", "std", "slope", "range", "iqr")] == pytest.approx([r[f"s_value_{s}"] for s in ("mean", "std", "slope", "range", "iqr")])
 
 
-def test_vibration_run(spark):
+def test_discovery_run(spark):
     rng = np.random.default_rng(3)
-    rows = []
-    for f in range(6):
-        t = np.arange(64 * 12)
-        de = np.sin(t * (0.1 if f % 2 else 0.9)) * (1 + f % 2 * 3) + rng.normal(0, 0.1, len(t))
-        rows.append((f"f{f}", de.tolist(), (de * 0.5 + rng.normal(0, 0.1, len(t))).tolist()))
-    run = runs.vibration_run(spark.createDataFrame(rows, "source_file string, de array<double>, fe array<double>"), size=64, k_max=2, iterations=3)
-    n = run.tables["features"].count()
-    assert n == 6 * 23 and run.tables["votes"].count() == n and run.tables["refined"].count() == n
-    assert run.tables["filtered"].count() == run.facts["components"]
+    rows = [(i, *[float(x) for x in rng.normal((i % 2) * 3, 0.3, 4)]) for i in range(80)]
+    columns = ["de_rms", "de_mean", "fe_rms", "fe_kurtosis"]
+    joint = features.zscore(spark.createDataFrame(rows, ["row_id", *columns]), columns)
+    run = runs.discover(joint, {"vibration_de": columns[:2], "vibration_fe": columns[2:]}, columns, "row_id", params.MOTOR, k_max=2, iterations=3)
+    assert run.tables["votes"].count() == 80 and run.tables["refined"].count() == 80 and run.facts["components"] == 2
+    filtered = run.tables["filtered"].collect()
+    assert len(filtered) == 2 and all("DOMINANT" in r["label"].upper() for r in filtered)
     shares = run.tables["dominance"].groupBy("mode_id").agg(F.sum("dominance").alias("s")).collect()
     assert all(0 <= r["s"] <= 1 + 1e-9 for r in shares)
     assert {r["metric"] for r in runs.evaluate(run).collect()} >= {"silhouette", "noise_ratio", "coherence_rate"}
     assert runs.align_runs(run, run).count() >= 1
 
 
+def test_vibration_features_of_signals(spark):
+    rows = [("f", [math.sin(i / 3) for i in range(200)], [math.cos(i / 3) for i in range(200)])]
+    both = windows.array_windows(spark.createDataFrame(rows, "source_file string, de array<double>, fe array<double>").withColumn("pair", F.arrays_zip("de", "fe")).drop("de", "fe"), "pair", 64, 0.5)
+    wide = both.select("source_file", "window_id", F.col("pair.de").alias("de"), F.col("pair.fe").alias("fe"))
+    got = features.vibration(wide, ["source_file", "window_id"], ["de", "fe"])
+    assert len(got.columns) == 50 and got.count() == 5 and got.first()["de_rms"] == pytest.approx(0.7, abs=0.05)
+
+
 def test_latency_harness(spark):
     out = runs.latency(lambda d: d.count(), spark.range(20).toDF("x"), rows=5, calls=3, sizes=(2, 4))
     assert out["mean_s"] > 0 and set(out["sizes"]) == {2, 4}
