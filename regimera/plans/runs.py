@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import causal, cluster, consensus, density, features, metrics, physics, retrieval, temporal, windows
 from ..sources import params as parameters
+from ..sources.shared import settle
 
 
 @dataclass
@@ -35,19 +36,19 @@ def discover(joint: DataFrame, modalities: dict[str, list[str]], columns: list[s
     rules, risk, labels -> merge of infeasible modes -> library entries and fingerprints.
     """
     run = Run()
-    joint = joint.cache()  # scanned by every model fit below
+    joint = settle(joint, "run-joint")  # scanned by every model fit below
     long = None
     for name, cols in modalities.items():
         part = _vectors(joint, [row_id], cols).withColumn("modality", F.lit(name))
         long = part if long is None else long.unionByName(part)
-    found = density.density_modes(long, row_id, "v", "modality", max_points=max_points).cache()
+    found = settle(density.density_modes(long, row_id, "v", "modality", max_points=max_points), "run-clusters")
     votes = consensus.arbitrate(found.select("row_id", "modality", "label", "prob"), list(modalities))
     data = _vectors(joint, [row_id], columns)
     baseline = cluster.kmeans_scan(data, row_id, "v", k_max=k_max, restarts=1)
     scan = cluster.mixture_scan(data, "v", k_max=k_max, iterations=iterations)
     k = scan.where("best").first()["k"]
     model, labelled = cluster.mixture(data, "v", int(k), iterations=iterations)
-    labelled = labelled.cache()
+    labelled = settle(labelled, "run-modes")
     means = model.gaussiansDF.select(vector_to_array("mean").alias("mean")).collect()  # a row for each mode
     centroid = joint.sparkSession.createDataFrame([(i, list(map(float, r["mean"]))) for i, r in enumerate(means)], "mode_id int, centroid array<double>")
     z = centroid.select(F.col("mode_id").cast("long").alias("mode_id"), *[F.get("centroid", i).alias(c) for i, c in enumerate(columns)])
@@ -59,9 +60,10 @@ def discover(joint: DataFrame, modalities: dict[str, list[str]], columns: list[s
     modes = labelled.select(F.col(row_id).alias("row_id"), F.col("mode_id").cast("long").alias("mode_id"))
     dominance = consensus.dominance_by_mode(votes, modes, list(modalities))
     signature = dominance.groupBy("mode_id").agg(F.map_from_entries(F.collect_list(F.struct("modality", "dominance"))).alias("signature"))
-    filtered = physics.filter_modes(q, p, signature).cache()
+    filtered = settle(physics.filter_modes(q, p, signature), "run-filtered")
     bad = [r["mode_id"] for r in filtered.where("not feasible").select("mode_id").collect()]  # modes
     refined = cluster.refine(labelled.drop("responsibility"), row_id, "v", "mode_id", centroid, bad, "merge")
+    refined = settle(refined, "run-refined")
     entries = retrieval.library_entries(filtered.join(signature, "mode_id").select("mode_id", F.col("signature").alias("dominance"), "label", "risk_score"), p["domain"])
     prints = filtered.join(signature, "mode_id").select("mode_id", "label", retrieval.fingerprint(F.col("violated"), F.col("signature"), F.col("risk_score")).alias("fp"))
     run.tables |= {
@@ -80,7 +82,7 @@ def vibration_run(signals: DataFrame, p: dict | None = None, size: int = 500, ov
     wide = both.select("source_file", "window_id", F.col("pair.de").alias("de"), F.col("pair.fe").alias("fe"))
     made = features.vibration(wide, ["source_file", "window_id"], ["de", "fe"], rate)
     columns = [c for c in made.columns if c not in ("source_file", "window_id")]
-    made = made.withColumn("row_id", F.xxhash64("source_file", "window_id")).cache()  # every preprocessing step scans it
+    made = settle(made.withColumn("row_id", F.xxhash64("source_file", "window_id")), "run-features")  # preprocessing scans it twice
     ready = features.preprocess(made, columns, ["source_file", "window_id"], ["source_file"])
     run = discover(ready, {"vibration_de": [c for c in columns if c.startswith("de_")], "vibration_fe": [c for c in columns if c.startswith("fe_")]}, columns, "row_id", p, k_max, iterations=iterations)
     run.tables["features"] = ready
@@ -91,16 +93,18 @@ def engine_run(cycles: DataFrame, p: dict | None = None, size: int = 30, k_max:
     """cycles: (unit_id, cycle, sensor columns under their proper names). Rolling and cross features -> discover -> lifecycles."""
     p = p or parameters.TURBOFAN
     groups = parameters.modality_columns(p)
-    rolled = features.rolling(cycles, ["unit_id"], "cycle", groups, size).cache()
+    rolled = features.rolling(cycles, ["unit_id"], "cycle", groups, size)
+    rolled = settle(rolled, "run-rolled")
     crossed = features.cross_modal(rolled, ["unit_id"], "cycle", list(groups))
     keys = ["unit_id", "cycle"]
-    joined = rolled.join(crossed, keys).cache()
+    joined = rolled.join(crossed, keys)
     columns = [c for c in joined.columns if c not in keys]
-    ready = features.preprocess(joined.withColumn("row_id", F.xxhash64(*keys)), columns, ["cycle"], ["unit_id"]).cache()
+    ready = features.preprocess(joined.withColumn("row_id", F.xxhash64(*keys)), columns, ["cycle"], ["unit_id"])
     run = discover(ready, {m: [c for c in columns if c.startswith(f"{m}_")] for m in groups}, columns, "row_id", p, k_max, iterations=iterations)
     risk = run.tables["filtered"].select("mode_id", "risk_score", "violated")
     timeline = ready.select("row_id", *keys).join(run.tables["refined"].select("row_id", F.col("refined").cast("long").alias("mode_id")), "row_id")
     timeline = timeline.join(F.broadcast(risk), "mode_id", "left").withColumn("risk", F.coalesce("risk_score", F.lit(0.0)))  # a row for each mode
+    timeline = settle(timeline, "run-timeline")
     n_modes = int(run.tables["filtered"].count())
     path = temporal.degradation(timeline, ["unit_id"], ["cycle"], "mode_id", "risk", imdti_window, n_modes)
     run.tables |= {
