@@ -4,15 +4,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = r"[x FOR x IN regexp_split_to_array({}, '[\x20\x09-\x0D]+') IF x <> '']"
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+#: Words with their places, and windows of five from neighbours: no list is repeated for its elements.
+_PLACES = "u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w)"
+_FIVES = "v AS (SELECT doc_id, i, " + " || ' ' || ".join(["x", *(f"lead(x, {k}) OVER o" for k in range(1, 5))]) + " AS g FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i))"
+
 JACCARD_JOIN = f"""WITH RECURSIVE w AS (SELECT doc_id, {_SPLIT.format(f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')")} AS w FROM documents),
-  s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+  {_PLACES}, {_FIVES}, s AS (SELECT DISTINCT doc_id, g FROM v WHERE g IS NOT NULL UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4),
   n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
   e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)), e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
   r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT e2.b, r.root FROM r JOIN e2 ON r.doc_id = e2.a), m AS (SELECT doc_id, min(root) AS root FROM r GROUP BY 1)
   SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.root, w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.doc_id = w.doc_id"""
 
 _COUNTS = f"""d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS stratum FROM documents), w AS (SELECT doc_id, t, stratum, {_SPLIT.format('t')} AS w FROM d),
-  g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 4], ' ')) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+  {_PLACES}, {_FIVES}, g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM v WHERE g IS NOT NULL),
   rep AS (SELECT doc_id, count(DISTINCT i + k) AS rep FROM (SELECT doc_id, i FROM g WHERE c > 1), (SELECT unnest(range(0, 5)) AS k) GROUP BY 1),
   ln AS (SELECT doc_id, count(*) AS n, count(DISTINCT l) AS u FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE length(translate(l, {_BLANK}, '')) > 0 GROUP BY 1),
   b AS (SELECT w.doc_id, stratum, len(w) AS n_words, length(translate(t, {_BLANK}, '')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
