@@ -36,3 +36,25 @@ QUALITY_RULES = f"""WITH {_COUNTS}, q AS (SELECT doc_id, max(quality) AS quality
   x AS (SELECT doc_id, bool_or(s >= k.level) AS hit FROM (SELECT doc_id, stratum, unnest(range(0, 5)) AS rule, unnest(stats) AS s FROM f) y JOIN k ON k.stratum = y.stratum AND k.rule = y.rule GROUP BY 1)
   SELECT f.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
     base_failed, NOT base_failed AND NOT coalesce(hit, false) AS kept FROM f LEFT JOIN x ON x.doc_id = f.doc_id"""
+
+_PATTERNS = (
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "length(v) >= 6"),
+    ("access", r"(AKIA[A-Z0-9]{16,})", "length(v) >= 20"),
+    ("hex", r"([0-9a-f]{24,})", "length(v) >= 24"),
+    ("owned", r"([A-Za-z0-9_-]{20,})", "length(v) - length(translate(v, '0123456789', '')) >= 4 AND length(translate(v, '0123456789-_', '')) >= 6"),
+)
+_FOUND = " UNION ALL ".join(
+    f"""SELECT doc_id, owner, {rank} AS rank, '{kind}' AS kind, v, s, s + length(m) AS e FROM (SELECT doc_id, owner, m, v, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS s
+    FROM (SELECT doc_id, owner, unnest(regexp_extract_all(t, '{p}', 0)) AS m, unnest(regexp_extract_all(t, '{p}', 1)) AS v, unnest(regexp_split_to_array(t, '{p}')[1:len(regexp_extract_all(t, '{p}', 0))]) AS gap,
+      unnest(range(1, len(regexp_extract_all(t, '{p}', 0)) + 1)) AS i FROM d)) WHERE {test}"""
+    for rank, (kind, p, test) in enumerate(_PATTERNS)
+)
+_LIST = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER ({}), '')"
+
+SECRET_SCAN = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce('s' || source, 'n') AS owner FROM documents), f AS ({_FOUND}),
+  c AS (SELECT * FROM f WHERE rank < 3 UNION ALL SELECT * FROM f g WHERE rank = 3 AND NOT EXISTS (SELECT 1 FROM f b WHERE b.rank < 3 AND b.doc_id = g.doc_id AND b.s < g.e AND g.s < b.e)),
+  o AS (SELECT v, count(DISTINCT owner) <= 2 AS live FROM c GROUP BY 1), j AS (SELECT c.*, o.live FROM c JOIN o ON o.v = c.v),
+  r AS (SELECT doc_id, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS k, count(*) FILTER (rank = 2) AS h, {_LIST.format('rank < 3')} AS base, {_LIST.format('rank < 3 OR live')} AS spans,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM j GROUP BY 1)
+  SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+  FROM d LEFT JOIN r ON r.doc_id = d.doc_id"""

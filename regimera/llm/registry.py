@@ -75,4 +75,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_quality_rules": oracles.QUALITY_RULES,
     "op2_jaccard_join": oracles.JACCARD_JOIN,
+    "op10_secret_scan": oracles.SECRET_SCAN,
 }
