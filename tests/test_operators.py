@@ -251,3 +251,13 @@ def test_vibration_features_of_signals(spark):
 def test_latency_harness(spark):
     out = runs.latency(lambda d: d.count(), spark.range(20).toDF("x"), rows=5, calls=3, sizes=(2, 4))
     assert out["mean_s"] > 0 and set(out["sizes"]) == {2, 4}
+
+
+def test_engine_run(spark):
+    rng = np.random.default_rng(0)
+    names = [n for group in params.modality_columns(params.TURBOFAN).values() for n in group]
+    rows = [(u, c, *[float(x) for x in rng.normal((c // 25) * 2, 1, len(names))]) for u in (1, 2, 3) for c in range(60)]
+    run = runs.engine_run(spark.createDataFrame(rows, ["unit_id", "cycle", *names]), k_max=2, iterations=2, size=10)
+    assert run.tables["features"].count() == 3 * 51 and run.tables["timeline"].count() == 3 * 51
+    assert run.tables["trajectory"].count() == 3 * 41 and run.tables["remaining_life"].count() == 3
+    assert run.tables["filtered"].count() == 2 and run.tables["precedence"].columns[:2] == ["a", "b"]
