@@ -303,6 +303,22 @@ def test_schedule_is_low_discrepancy(spark):
     assert ranks == list(range(len(ranks)))
 
 
+def test_mixing_of_sources_smaller_than_a_block(spark):
+    sizes = {"a": [1000] * 30 + [7] * 20, "b": [900] * 20, "c": [2, 1], "d": [150, 250], "e": [4000, 1999, 1], None: [60] * 5}
+    rows = [(i, f"{i} " + "w " * (n - 1), "en", s, 0, None) for i, (s, n) in enumerate((s, n) for s in sizes for n in sizes[s])]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), bits=4).collect()
+    want = water_level({s: sum(v) for s, v in sizes.items()}, {s: (5, 2, 1)[i % 3] for i, s in enumerate(sizes)})
+    for s in sizes:
+        # The first words of the source's repeated stream, as many as its target.
+        mine, left = sorted((r for r in got if r["source"] == s), key=lambda r: r["h"] % 2**64), round(want[s])
+        taken = dict.fromkeys((r["doc_id"] for r in mine), 0)
+        while left:
+            for r in mine:
+                taken[r["doc_id"]] += min(left, r["size"])
+                left -= min(left, r["size"])
+        assert {r["doc_id"]: r["taken"] for r in mine} == taken
+
+
 # op5
 
 
