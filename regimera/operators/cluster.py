@@ -32,7 +32,7 @@ def kmeans_labels(df: DataFrame, columns: list[str] | str, k: int, seed: int = 4
     return model.transform(tagged).withColumnRenamed("prediction", "label").drop("_f")
 
 
-def kmeans_scan(df: DataFrame, row_id: str, vector: str, k_max: int = 10, seed: int = 42, restarts: int = 2) -> DataFrame:
+def kmeans_scan(df: DataFrame, row_id: str, vector: str, k_max: int = 10, seed: int = 42, restarts: int = 10) -> DataFrame:
     """(k, inertia, silhouette, davies_bouldin, calinski_harabasz, best) for k = 2..k_max; best marks the highest silhouette, first on ties."""
     spark = df.sparkSession
     base = vectors(df.select(row_id, vector), vector).cache()
@@ -50,11 +50,16 @@ def kmeans_scan(df: DataFrame, row_id: str, vector: str, k_max: int = 10, seed:
     return out.withColumn("best", F.row_number().over(Window.orderBy(F.desc("silhouette"), "k")) == 1)
 
 
-def mixture(df: DataFrame, vector: str, k: int, seed: int = 42, restarts: int = 1, iterations: int = 50):
+def best_mixture(df: DataFrame, k: int, seed: int = 42, restarts: int = 5, iterations: int = 50):
+    """The model with the greatest likelihood over several seeds."""
+    models = [GaussianMixture(k=k, seed=seed + i, maxIter=iterations).fit(df) for i in range(restarts)]
+    return max(models, key=lambda m: m.summary.logLikelihood)
+
+
+def mixture(df: DataFrame, vector: str, k: int, seed: int = 42, restarts: int = 5, iterations: int = 50):
     """(model, labelled rows): full-covariance Gaussian mixture; adds mode_id and the responsibilities."""
     base = vectors(df, vector).cache()
-    models = [GaussianMixture(k=k, seed=seed + i, maxIter=iterations).fit(base) for i in range(restarts)]
-    model = max(models, key=lambda m: m.summary.logLikelihood)
+    model = best_mixture(base, k, seed, restarts, iterations)
     out = model.transform(base).withColumn("responsibility", vector_to_array("probability"))
     return model, out.withColumnRenamed("prediction", "mode_id").drop("features", "probability")
 
@@ -63,13 +68,13 @@ def n_parameters(k: int, d: int) -> int:
     return k * d + k * d * (d + 1) // 2 + k - 1
 
 
-def mixture_scan(df: DataFrame, vector: str, k_max: int = 10, seed: int = 42, iterations: int = 30) -> DataFrame:
+def mixture_scan(df: DataFrame, vector: str, k_max: int = 10, seed: int = 42, iterations: int = 30, restarts: int = 5) -> DataFrame:
     """(k, log_likelihood, bic, aic, best) for k = 2..k_max; best marks the lowest BIC."""
     base = vectors(df, vector).cache()
     n, d = base.count(), len(base.first()[vector])
     rows = []
     for k in range(2, k_max + 1):
-        ll = float(GaussianMixture(k=k, seed=seed, maxIter=iterations).fit(base).summary.logLikelihood)
+        ll = float(best_mixture(base, k, seed, restarts, iterations).summary.logLikelihood)
         p = n_parameters(k, d)
         rows.append((k, ll, p * math.log(n) - 2 * ll, 2 * p - 2 * ll))
     base.unpersist()

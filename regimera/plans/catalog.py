@@ -568,12 +568,12 @@ def regime_labels(spark, sf_dir):
 
 @query()
 def kmeans_scan(spark, sf_dir):
-    return cluster.kmeans_scan(t.points(spark, sf_dir), "vec_id", "v", k_max=5, restarts=1)
+    return cluster.kmeans_scan(t.points(spark, sf_dir), "vec_id", "v")
 
 
 @query()
 def gmm_scan(spark, sf_dir):
-    return cluster.mixture_scan(t.points(spark, sf_dir, 3), "v", k_max=4)
+    return cluster.mixture_scan(t.points(spark, sf_dir, 3), "v")
 
 
 @query()

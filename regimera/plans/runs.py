@@ -44,7 +44,7 @@ def discover(joint: DataFrame, modalities: dict[str, list[str]], columns: list[s
     found = settle(density.density_modes(long, row_id, "v", "modality", max_points=max_points), "run-clusters")
     votes = consensus.arbitrate(found.select("row_id", "modality", "label", "prob"), list(modalities))
     data = _vectors(joint, [row_id], columns)
-    baseline = cluster.kmeans_scan(data, row_id, "v", k_max=k_max, restarts=1)
+    baseline = cluster.kmeans_scan(data, row_id, "v", k_max=k_max)
     scan = cluster.mixture_scan(data, "v", k_max=k_max, iterations=iterations)
     k = scan.where("best").first()["k"]
     model, labelled = cluster.mixture(data, "v", int(k), iterations=iterations)

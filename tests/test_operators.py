@@ -1,5 +1,6 @@
 """Hand-computed fixtures and properties of the operators."""
 
+import inspect
 import math
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from regimera.functions.columns import a_spectral_features, a_time_features
 from regimera.functions.spectrum import with_magnitudes
 from regimera.operators import causal, cluster, consensus, density, features, metrics, physics, retrieval, temporal, windows
-from regimera.plans import runs
+from regimera.plans import catalog, runs
 from regimera.sources import params, signals, store
 from regimera.streaming import windows as streaming
 
@@ -261,3 +262,25 @@ def test_engine_run(spark):
     assert run.tables["features"].count() == 3 * 51 and run.tables["timeline"].count() == 3 * 51
     assert run.tables["trajectory"].count() == 3 * 41 and run.tables["remaining_life"].count() == 3
     assert run.tables["filtered"].count() == 2 and run.tables["precedence"].columns[:2] == ["a", "b"]
+
+
+def test_registered_scans_try_all_counts_and_starts(spark, monkeypatch):
+    for name, starts in (("kmeans_scan", 10), ("mixture_scan", 5)):
+        asked = inspect.signature(getattr(cluster, name))
+
+        def bound(*args, asked=asked, **kw):
+            found = asked.bind(*args, **kw)
+            found.apply_defaults()
+            return found.arguments
+
+        monkeypatch.setattr(cluster, name, bound)
+        got = catalog.QUERIES["kmeans_scan" if name == "kmeans_scan" else "gmm_scan"](spark, "/root/testdata/sf0.001")
+        assert got["k_max"] == 10 and got["restarts"] == starts
+
+
+def test_mixture_scan_keeps_the_best_start(spark):
+    x = np.concatenate([np.random.default_rng(2).normal(c, 0.2, (30, 1)) for c in (0, 3, 6, 9)])
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>")
+    fits = [cluster.mixture_scan(df, "v", k_max=3, iterations=5, seed=s, restarts=1).orderBy("k").collect() for s in (42, 43)]
+    best = cluster.mixture_scan(df, "v", k_max=3, iterations=5, restarts=2).orderBy("k").collect()
+    assert [r["log_likelihood"] for r in best] == pytest.approx([max(a["log_likelihood"], b["log_likelihood"]) for a, b in zip(*fits)])
