@@ -284,3 +284,9 @@ def test_mixture_scan_keeps_the_best_start(spark):
     fits = [cluster.mixture_scan(df, "v", k_max=3, iterations=5, seed=s, restarts=1).orderBy("k").collect() for s in (42, 43)]
     best = cluster.mixture_scan(df, "v", k_max=3, iterations=5, restarts=2).orderBy("k").collect()
     assert [r["log_likelihood"] for r in best] == pytest.approx([max(a["log_likelihood"], b["log_likelihood"]) for a, b in zip(*fits)])
+
+
+def test_points_are_whole_embeddings(spark):
+    sf = "/root/testdata/sf0.001"
+    assert {len(r["v"]) for r in catalog.t.points(spark, sf).select("v").collect()} == {64}
+    assert {len(r["v"]) for r in catalog.QUERIES["synthetic_sampling"](spark, sf).collect()} == {64}
