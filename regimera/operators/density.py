@@ -7,10 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import settle
 from ..sources.shipping import ship
-from .tiles import distances
+from .tiles import BLOCK_ROWS, distances
 
 MAX_POINTS = 4000
+#: Spanning forests merged in one task.
+FORESTS = 8
 
 
 def core_distances(d: np.ndarray, k: int) -> np.ndarray:
@@ -37,13 +40,18 @@ def spanning_tree(d: np.ndarray) -> np.ndarray:
 
 def hdbscan(points: np.ndarray, min_size: int = 15, min_samples: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(label, probability, outlier score) of each point; -1 is noise. The root cluster is never selected."""
-    n = len(points)
+    if len(points) < max(min_size, 2):
+        return hierarchy(len(points), np.zeros((0, 3)), min_size)
+    d = distances(points, points)
+    core = core_distances(d, min_samples)
+    return hierarchy(len(points), spanning_tree(np.maximum(d, np.maximum(core[:, None], core[None, :]))), min_size)
+
+
+def hierarchy(n: int, tree: np.ndarray, min_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label, probability, outlier score) of n points from the edges of their spanning tree, by weight."""
     labels, probs, outlier = np.full(n, -1), np.zeros(n), np.zeros(n)
     if n < max(min_size, 2):
         return labels, probs, outlier
-    d = distances(points, points)
-    core = core_distances(d, min_samples)
-    tree = spanning_tree(np.maximum(d, np.maximum(core[:, None], core[None, :])))
     # Single linkage: node n + i joins two nodes at tree[i].
     parent, kids, size = list(range(n)), {}, [1] * n
     top = list(range(n))
@@ -94,16 +102,15 @@ def hdbscan(points: np.ndarray, min_size: int = 15, min_samples: int = 5) -> tup
                     todo.append((x, c))
                 else:
                     falls[c] += [(m, lam) for m in members(x)]
-    whole = lambda c: sum((len_members(k) for k in children[c]), len(falls[c]))
-
-    def len_members(c: int) -> int:
-        return whole(c)
+    whole = {}
+    for c in sorted(birth, reverse=True):  # children have higher numbers
+        whole[c] = len(falls[c]) + sum(whole[k] for k in children[c])
 
     finite = max((v for f in falls.values() for _, v in f if np.isfinite(v)), default=1.0)
     cap = lambda v: min(v, finite)
     stability = {}
     for c in birth:
-        gone = sum(cap(v) - cap(birth[c]) for _, v in falls[c]) + sum((cap(birth[k]) - cap(birth[c])) * whole(k) for k in children[c])
+        gone = sum(cap(v) - cap(birth[c]) for _, v in falls[c]) + sum((cap(birth[k]) - cap(birth[c])) * whole[k] for k in children[c])
         stability[c] = gone
     chosen, value = set(), {}
     for c in sorted(birth, reverse=True):  # children have higher numbers
@@ -132,36 +139,134 @@ def hdbscan(points: np.ndarray, min_size: int = 15, min_samples: int = 5) -> tup
         most = max(cap(v) for _, v in rows)
         for p, v in rows:
             labels[p], probs[p] = i, cap(v) / most if most > 0 else 1.0
-    for c in birth:
-        deepest = max((cap(v) for _, v in fallen(c)), default=0.0)
+    deep = {}
+    for c in sorted(birth, reverse=True):
+        deepest = deep[c] = max([cap(v) for _, v in falls[c]] + [deep[k] for k in children[c]], default=0.0)
         for p, v in falls[c]:
             outlier[p] = (deepest - cap(v)) / deepest if deepest > 0 else 0.0
     return labels, probs, outlier
 
 
-def density_modes(df: DataFrame, row_id: str, vector: str, modality: str | None = None, min_size: int = 15, min_samples: int = 5, max_points: int = MAX_POINTS) -> DataFrame:
+def forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Positions of the edges of a minimum spanning forest, by weight."""
+    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, parent, kept = ends[: len(a)].tolist(), ends[len(a) :].tolist(), list(range(len(ids))), []
+    for i in np.argsort(w, kind="stable").tolist():
+        x, y = a[i], b[i]
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x != y:
+            parent[y] = x
+            kept.append(i)
+    return np.array(kept, int)
+
+
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """rows (g, id, core, v) in blocks of about `size` rows of a group: (g, block, n, ids, cores, points)."""
+    counts = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n_blocks"))
+    dealt = rows.join(counts, "g").select("g", F.pmod(F.xxhash64("id"), "n_blocks").cast("int").alias("block"), "id", "core", "v")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        one = {"g": pdf["g"].iloc[0], "block": pdf["block"].iloc[0], "n": len(pdf)}
+        return pd.DataFrame([one | {"ids": pdf["id"].to_numpy("<i8").tobytes(), "cores": pdf["core"].to_numpy("<f8").tobytes(), "points": np.stack(pdf["v"].to_numpy()).astype("<f8").tobytes()}])
+
+    return dealt.groupBy("g", "block").applyInPandas(run, "g string, block int, n int, ids binary, cores binary, points binary")
+
+
+def _meet(left: DataFrame, right: DataFrame, on, kernel, schema: str) -> DataFrame:
+    """kernel(row, ids, cores, points, ids, cores, points) -> columns for every pair of blocks that meets `on`."""
+    side = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in df.columns])
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                raw = [(np.frombuffer(i, "<i8"), np.frombuffer(c, "<f8"), np.frombuffer(v, "<f8").reshape(n, -1)) for n, i, c, v in ((r.l_n, r.l_ids, r.l_cores, r.l_points), (r.r_n, r.r_ids, r.r_cores, r.r_points))]
+                yield pd.DataFrame(dict(zip(names, kernel(r, *raw[0], *raw[1]))))
+
+    return side(left, "l_").join(side(right, "r_"), on).mapInPandas(run, schema)
+
+
+def spanning_trees(rows: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
+    """(g, a, b, w): edges of the minimum spanning tree of each group of rows (g, id, core, v) by mutual reachability.
+
+    Any two rows share a pair of blocks, so the trees of all pairs of blocks hold a tree of the whole; forests are merged FORESTS at a
+    time, so a task holds a few edges for each row of a group and never all distances.
+    """
+    packed = _packed(rows, size)
+
+    def tree(r, ia, ca, a, ib, cb, b):
+        if r.l_block != r.r_block:
+            ids, cores, points = np.concatenate([ia, ib]), np.concatenate([ca, cb]), np.concatenate([a, b])
+            order = np.argsort(ids)
+            ia, ca, a = ids[order], cores[order], points[order]
+        t = spanning_tree(np.maximum(distances(a, a), np.maximum(ca[:, None], ca[None, :])))
+        return [r.l_g] * len(t), [r.l_block * (1 << 20) + r.r_block] * len(t), ia[t[:, 0].astype(int)], ia[t[:, 1].astype(int)], t[:, 2]
+
+    schema = "g string, part bigint, a bigint, b bigint, w double"
+    edges = _meet(packed, packed, (F.col("l_g") == F.col("r_g")) & (F.col("l_block") <= F.col("r_block")), tree, schema)
+    most = rows.groupBy("g").count().agg(F.max("count")).first()[0] or 0
+    n_blocks = -(-most // size)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[forest(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["w"].to_numpy())]
+
+    left = n_blocks * (n_blocks + 1) // 2
+    lo, hi = F.shiftright("part", 20), F.col("part").bitwiseAND((1 << 20) - 1)
+    edges = edges.withColumn("part", (hi * (hi + 1) / 2).cast("long") + lo)  # pairs numbered from 0
+    while left > 1:
+        left = -(-left // FORESTS)
+        edges = edges.withColumn("part", F.floor(F.col("part") / FORESTS)).groupBy("g", "part").applyInPandas(merge, schema)
+    return edges.drop("part")
+
+
+def kth_nearest(rows: DataFrame, k: int, size: int = BLOCK_ROWS) -> DataFrame:
+    """rows (g, id, v) plus core: the distance to the k-th nearest row of the group, the row itself counting as the first."""
+    packed = _packed(rows.withColumn("core", F.lit(0.0)), size)
+
+    def near(r, ia, ca, a, ib, cb, b):
+        m = min(k, len(ib))
+        return [r.l_g] * (m * len(ia)), np.repeat(ia, m), np.partition(distances(a, b), m - 1, axis=1)[:, :m].ravel()
+
+    found = _meet(packed, packed, F.col("l_g") == F.col("r_g"), near, "g string, id bigint, d double")
+    core = F.array_sort(F.collect_list("d"))
+    core = found.groupBy("g", "id").agg(F.get(core, F.least(F.lit(k), F.size(core)) - 1).alias("core"))
+    return rows.join(core, ["g", "id"])
+
+
+def density_modes(df: DataFrame, row_id: str, vector: str, modality: str | None = None, min_size: int = 15, min_samples: int = 5, max_points: int | None = None, size: int = BLOCK_ROWS) -> DataFrame:
     """(modality, row_id, label, prob, outlier): density clusters of each modality, modalities in parallel.
 
-    The hierarchy needs all distances, so it is fitted on at most max_points rows of a modality, the first by hashed id;
-    rows beyond them take label and probability of their nearest fitted row. The bound is a parameter; up to it the
-    result is exact.
+    Distances are met in tiles of `size` rows and the spanning tree is exact over all rows; the hierarchy of a modality is built in one
+    task from its edges, one for each row. Row ids are distinct. With max_points only that many rows of a modality, the first by
+    hashed id, are clustered; the rest take label and probability of their nearest fitted row.
     """
     ship(df.sparkSession)
     from pyspark.sql import Window
 
     name = F.col(modality).cast("string") if modality else F.lit("joint")
     rows = df.select(name.alias("modality"), F.col(row_id).cast("long").alias("row_id"), F.col(vector).cast("array<double>").alias("v"))
-    cut = rows.withColumn("_r", F.row_number().over(Window.partitionBy("modality").orderBy(F.xxhash64("row_id"), "row_id")))
-    fitted = cut.where(F.col("_r") <= max_points).drop("_r")
-    rest = cut.where(F.col("_r") > max_points).drop("_r")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id")
-        label, prob, outlier = hdbscan(np.stack(pdf["v"].to_numpy()), min_size, min_samples)
-        return pd.DataFrame({"modality": pdf["modality"].to_numpy(), "row_id": pdf["row_id"].to_numpy(), "label": label, "prob": prob, "outlier": outlier})
+    fitted = rows
+    if max_points is not None:
+        cut = rows.withColumn("_r", F.row_number().over(Window.partitionBy("modality").orderBy(F.xxhash64("row_id"), "row_id")))
+        fitted = cut.where(F.col("_r") <= max_points).drop("_r")
+        rest = cut.where(F.col("_r") > max_points).drop("_r")
+
+    def fit(ids: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        at = np.sort(ids["id"].to_numpy())
+        tree = np.column_stack([np.searchsorted(at, edges["a"]), np.searchsorted(at, edges["b"]), edges["w"]]).astype(float)
+        label, prob, outlier = hierarchy(len(at), tree[np.argsort(tree[:, 2], kind="stable")], min_size)
+        return pd.DataFrame({"modality": ids["g"].iloc[0], "row_id": at, "label": label, "prob": prob, "outlier": outlier})
 
     schema = "modality string, row_id bigint, label int, prob double, outlier double"
-    done = fitted.groupBy("modality").applyInPandas(fit, schema)
+    cored = settle(kth_nearest(fitted.select(F.col("modality").alias("g"), F.col("row_id").alias("id"), "v"), min_samples, size), "density-cores")
+    edges = spanning_trees(cored, size)
+    done = cored.select("g", "id").groupBy("g").cogroup(edges.groupBy("g")).applyInPandas(fit, schema)
+    if max_points is None:
+        return done
     if rest.isEmpty():
         return done
     model = fitted.join(done, ["modality", "row_id"]).groupBy("modality").agg(F.collect_list(F.struct("v", "label", "prob", "outlier")).alias("model"))

@@ -579,7 +579,7 @@ def gmm_scan(spark, sf_dir):
 @query()
 def hdbscan_modes(spark, sf_dir):
     p = t.points(spark, sf_dir).withColumn("modality", F.lit("vibration"))
-    return density.density_modes(p.unionByName(t.points(spark, sf_dir).withColumn("modality", F.lit("current"))), "vec_id", "v", "modality", max_points=2500)
+    return density.density_modes(p.unionByName(t.points(spark, sf_dir).withColumn("modality", F.lit("current"))), "vec_id", "v", "modality")
 
 
 @query()

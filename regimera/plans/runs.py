@@ -29,7 +29,7 @@ def _vectors(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return df.select(*keys, F.array(*columns).alias("v"))
 
 
-def discover(joint: DataFrame, modalities: dict[str, list[str]], columns: list[str], row_id: str, p: dict, k_max: int = 10, max_points: int = density.MAX_POINTS, iterations: int = 50) -> Run:
+def discover(joint: DataFrame, modalities: dict[str, list[str]], columns: list[str], row_id: str, p: dict, k_max: int = 10, max_points: int | None = None, iterations: int = 50) -> Run:
     """The part both runs share. joint: (row_id, standardised feature columns).
 
     Density clusters of each modality -> confidence votes -> mixture with the component count of least BIC -> proxies ->

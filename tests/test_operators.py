@@ -290,3 +290,21 @@ def test_points_are_whole_embeddings(spark):
     sf = "/root/testdata/sf0.001"
     assert {len(r["v"]) for r in catalog.t.points(spark, sf).select("v").collect()} == {64}
     assert {len(r["v"]) for r in catalog.QUERIES["synthetic_sampling"](spark, sf).collect()} == {64}
+
+
+def test_density_over_all_rows_in_tiles(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, s, (n, 2)) for c, s, n in (((0, 0), 0.1, 60), ((5, 5), 0.3, 50), ((0, 5), 0.2, 40))] + [rng.uniform(-20, 20, (10, 2))])
+    kind = np.concatenate([np.repeat([0, 1, 2], (60, 50, 40)), np.full(10, -1)])
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, kind))], "id long, v array<double>, kind int")
+    labels = density.hdbscan(x, 15, 5)[0]
+    got = {r["row_id"]: r["label"] for r in density.density_modes(df, "id", "v", size=30).collect()}
+    pairs = {(a, got[i]) for i, a in enumerate(labels.tolist())}
+    assert len(got) == 160 and len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_density_has_no_bound_on_rows(spark):
+    x = np.concatenate([np.random.default_rng(5).normal(c, 0.1, (n, 2)) for c, n in (((0, 0), 4300), ((9, 9), 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    edges = density.spanning_trees(density.kth_nearest(df.withColumn("g", F.lit("a")).select("g", "id", "v"), 5)).collect()
+    assert len(edges) == 4315
