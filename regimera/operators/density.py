@@ -11,7 +11,6 @@ from ..sources.shared import settle
 from ..sources.shipping import ship
 from .tiles import BLOCK_ROWS, distances
 
-MAX_POINTS = 4000
 #: Spanning forests merged in one task.
 FORESTS = 8
 
@@ -317,14 +316,48 @@ def dbcv(points: np.ndarray, labels: np.ndarray) -> float:
     return float(total)
 
 
-def density_validity(df: DataFrame, vector: str, label: str, max_points: int = MAX_POINTS) -> DataFrame:
-    """One row (dbcv) over at most max_points rows, the first by hashed vector; null where undefined."""
+def density_validity(df: DataFrame, vector: str, label: str, size: int = BLOCK_ROWS) -> DataFrame:
+    """One row (dbcv) over all rows, distances met in tiles of `size` rows; null where undefined."""
     ship(df.sparkSession)
     rows = df.select(F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("long").alias("label"))
-    some = rows.orderBy(F.xxhash64("v"), "v").limit(max_points)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        value = dbcv(np.stack(pdf["v"].to_numpy()), pdf["label"].to_numpy())
-        return pd.DataFrame({"dbcv": [None if np.isnan(value) else value]})
-
-    return some.groupBy().applyInPandas(run, "dbcv double")
+    rows = settle(rows.withColumn("id", F.monotonically_increasing_id()), "dbcv-rows")
+    kept = rows.where("label >= 0").select(F.col("label").cast("string").alias("g"), "id", "v")
+    packed = _packed(kept.withColumn("core", F.lit(0.0)), size)
+
+    def density(r, ia, ca, a, ib, cb, b):
+        # Logarithm of the sum of 1 / d ** dim: the power itself leaves the range of a double.
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = distances(a, b)
+            x = np.where(d > 0, -a.shape[1] * np.log(d), -np.inf)
+            top = x.max(1)
+            total = np.where(np.isfinite(top), top + np.log(np.exp(x - top[:, None]).sum(1)), -np.inf)
+        return [r.l_g] * len(ia), ia, [a.shape[1]] * len(ia), total
+
+    found = _meet(packed, packed, F.col("l_g") == F.col("r_g"), density, "g string, id bigint, dim int, s double")
+    sums = found.groupBy("g", "id", "dim").agg(F.collect_list("s").alias("s"), F.max("s").alias("top"))
+    total = F.col("top") + F.log(F.aggregate("s", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("top"))))
+    counts = kept.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    mean = total - F.log(F.greatest(F.lit(1), F.col("n") - 1))
+    core = F.when(F.col("top") == float("-inf"), 0.0).otherwise(F.exp(-mean / F.col("dim")))
+    cored = settle(kept.join(sums.join(counts, "g").select("g", "id", core.alias("core")), ["g", "id"]), "dbcv-cores")
+
+    def inside(ids: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        at = np.sort(ids["id"].to_numpy())
+        a, b, w = np.searchsorted(at, edges["a"]), np.searchsorted(at, edges["b"]), edges["w"].to_numpy()
+        middle = np.bincount(np.concatenate([a, b]).astype(int), minlength=len(at)) > 1
+        both = w[middle[a] & middle[b]] if len(w) else w
+        sparse = float(both.max()) if len(both) else (float(w.max()) if len(w) else 0.0)
+        return pd.DataFrame({"g": ids["g"].iloc[0], "id": at, "inner": middle if middle.any() else True, "sparse": sparse})
+
+    nodes = settle(cored.select("g", "id").groupBy("g").cogroup(spanning_trees(cored, size).groupBy("g")).applyInPandas(inside, "g string, id bigint, inner boolean, sparse double"), "dbcv-nodes")
+    inner = _packed(cored.join(nodes.where("inner").select("g", "id"), ["g", "id"]), size)
+
+    def apart(r, ia, ca, a, ib, cb, b):
+        d = float(np.maximum(distances(a, b), np.maximum(ca[:, None], cb[None, :])).min())
+        return [r.l_g, r.r_g], [d, d]
+
+    gaps = _meet(inner, inner, F.col("l_g") < F.col("r_g"), apart, "g string, apart double").groupBy("g").agg(F.min("apart").alias("apart"))
+    each = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("sparse").alias("sparse")).join(gaps, "g")
+    top = F.greatest("apart", "sparse")
+    value = F.col("n") * F.when(top > 0, (F.col("apart") - F.col("sparse")) / top).otherwise(0.0)
+    return each.agg(F.sum(value).alias("s")).crossJoin(rows.agg(F.count(F.lit(1)).alias("all"))).select((F.col("s") / F.col("all")).alias("dbcv"))

@@ -301,6 +301,7 @@ def test_density_over_all_rows_in_tiles(spark):
     got = {r["row_id"]: r["label"] for r in density.density_modes(df, "id", "v", size=30).collect()}
     pairs = {(a, got[i]) for i, a in enumerate(labels.tolist())}
     assert len(got) == 160 and len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    assert density.density_validity(df, "v", "kind", size=30).first()[0] == pytest.approx(density.dbcv(x, kind))
 
 
 def test_density_has_no_bound_on_rows(spark):
