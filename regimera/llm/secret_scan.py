@@ -145,9 +145,11 @@ def redact(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] =
     # Written once with the spans: searching again in each branch makes code too large for the compiler's memory.
     rows = materialise(rows.withColumn("generic", free).withColumn("rid", F.monotonically_increasing_id()), "secret-rows")
     some = rows.where(F.size("generic") > 0)
-    spread = some.select("rid", "owner", F.explode("generic").alias("span"))
+    spread = some.select("rid", F.explode("generic").alias("span"))
     spread = spread.withColumn("value", F.col("span.value"))
-    tally = spread.select("value", "owner").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("owners"))
+    # Owners over base and generic spans together, as scan() counts them.
+    carried = rows.select("owner", F.explode(F.concat("base", "generic")).alias("span")).select(F.col("span.value").alias("value"), "owner")
+    tally = carried.distinct().groupBy("value").agg(F.count(F.lit(1)).alias("owners"))
     owned = spread.join(tally.where(F.col("owners") <= max_owners), "value").groupBy("rid").agg(F.collect_list("span").alias("more"))
     hit = some.join(owned, "rid", "left").select("row", F.concat("base", F.coalesce("more", F.array().cast(_SPAN))).alias("cut"))
     rest = rows.where(F.size("generic") == 0).select("row", F.col("base").alias("cut"))

@@ -561,6 +561,15 @@ def test_redact(spark, docs):
     assert sorted(map(str, secret_scan.redact(docs).collect())) == sorted(map(str, docs.collect()))
 
 
+def test_redaction_counts_owners_as_the_scan_does(spark):
+    value = "abcdef-1234567890-xyzw"
+    rows = [(i, f"password={value}" if i else f"bare {value}", "en", f"s{i}", 0, None) for i in range(5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.scan(df, keep=["doc_id"]).collect()}
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
+    assert spans[0] == "" and got[0] == f"bare {value}" and got[1] == "[secret]"
+
+
 # Shared helpers and the pipeline
 
 
