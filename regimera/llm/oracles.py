@@ -41,20 +41,28 @@ _PATTERNS = (
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "length(v) >= 6"),
     ("access", r"(AKIA[A-Z0-9]{16,})", "length(v) >= 20"),
     ("hex", r"([0-9a-f]{24,})", "length(v) >= 24"),
-    ("owned", r"([A-Za-z0-9_-]{20,})", "length(v) - length(translate(v, '0123456789', '')) >= 4 AND length(translate(v, '0123456789-_', '')) >= 6"),
+    (
+        "generic",
+        r"""(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+)?|://[A-Za-z0-9._%+-]+:[^\x20\x09-\x0D/:@]{6,}@|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]+-----END|[A-Za-z0-9+/_=-]{16,})""",
+        "length(v) >= 8 AND ((length(v) - length(translate(v, '0123456789', '')) >= 3 AND length(translate(v, '0123456789+/_=-', '')) >= 3 AND regexp_matches(v, '[A-Za-z0-9]{16}')) OR starts_with(v, '://') OR starts_with(v, '-----BEGIN ') OR regexp_matches(v, '^eyJ[^.]+\\.'))",
+    ),
 )
 _FOUND = " UNION ALL ".join(
-    f"""SELECT doc_id, owner, {rank} AS rank, '{kind}' AS kind, v, s, s + length(m) AS e FROM (SELECT doc_id, owner, m, v, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS s
-    FROM (SELECT doc_id, owner, unnest(regexp_extract_all(t, '{p}', 0)) AS m, unnest(regexp_extract_all(t, '{p}', 1)) AS v, unnest(regexp_split_to_array(t, '{p}')[1:len(regexp_extract_all(t, '{p}', 0))]) AS gap,
+    f"""SELECT doc_id, owner, repo, {rank} AS rank, '{kind}' AS kind, v, s, s + length(m) AS e FROM (SELECT doc_id, owner, repo, m, v, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS s
+    FROM (SELECT doc_id, owner, repo, unnest(regexp_extract_all(t, '{p}', 0)) AS m, unnest(regexp_extract_all(t, '{p}', 1)) AS v, unnest(regexp_split_to_array(t, '{p}')[1:len(regexp_extract_all(t, '{p}', 0))]) AS gap,
       unnest(range(1, len(regexp_extract_all(t, '{p}', 0)) + 1)) AS i FROM d)) WHERE {test}"""
     for rank, (kind, p, test) in enumerate(_PATTERNS)
 )
-_LIST = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER ({}), '')"
+_LIST = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) FILTER ({}), '')"
 
-SECRET_SCAN = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce('s' || source, 'n') AS owner FROM documents), f AS ({_FOUND}),
+#: Few: one, or a tenth of the corpus's owners and of its repositories.
+SECRET_SCAN = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce('s' || source, 'n') AS owner, coalesce('s' || source, 'n') || chr(31) || coalesce('s' || lang, 'n') AS repo FROM documents), f AS ({_FOUND}),
   c AS (SELECT * FROM f WHERE rank < 3 UNION ALL SELECT * FROM f g WHERE rank = 3 AND NOT EXISTS (SELECT 1 FROM f b WHERE b.rank < 3 AND b.doc_id = g.doc_id AND b.s < g.e AND g.s < b.e)),
-  o AS (SELECT v, count(DISTINCT owner) <= 2 AS live FROM c GROUP BY 1), j AS (SELECT c.*, o.live FROM c JOIN o ON o.v = c.v),
+  n AS (SELECT greatest(1, floor(0.1 * count(DISTINCT owner))) AS few_o, greatest(1, floor(0.1 * count(DISTINCT repo))) AS few_r FROM d),
+  o AS (SELECT v, count(DISTINCT owner) <= any_value(few_o) AND count(DISTINCT repo) <= any_value(few_r) AS live FROM c, n GROUP BY 1),
+  u AS (SELECT x.*, o.live FROM (SELECT DISTINCT doc_id, e - length(v) AS s, e, v FROM c) x JOIN o ON o.v = x.v),
+  j AS (SELECT doc_id, rank, kind, s, e, false AS live, false AS value FROM c WHERE rank < 3 UNION ALL SELECT doc_id, 4, 'owned', s, e, live, true FROM u),
   r AS (SELECT doc_id, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS k, count(*) FILTER (rank = 2) AS h, {_LIST.format('rank < 3')} AS base, {_LIST.format('rank < 3 OR live')} AS spans,
-    count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM j GROUP BY 1)
+    count(*) FILTER (live) AS n_live, count(*) FILTER (value AND NOT live) AS n_example FROM j GROUP BY 1)
   SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
   FROM d LEFT JOIN r ON r.doc_id = d.doc_id"""

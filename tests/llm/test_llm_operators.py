@@ -526,43 +526,111 @@ def brute_spans(t):
 
 SECRETS = [
     "token=token:abcdefgh", "Api_Key: 'abc.def-1' é token = \"deadbeef\"", "AKIA" + "A1" * 8 + " AKIA" + "B" * 15 + " AKIAAKIA" + "C" * 16, "x" + "0a" * 12 + " 0123456789abcdef01234567g", "\U0001f600 passwd=123456 \U0001f600 secret : zzzzzz",
-    "token==abc token =  = abcdefg", "live Zx81_kd92-Lq7vB3nM5tR", None, "", "password=" + "a" * 50 + "f" * 30, "again Example_1234_Example_5678 here", "again Example_1234_Example_5678 there", "again Example_1234_Example_5678 twice",
+    "token==abc token =  = abcdefg", "live Zx81kd92Lq7vB3nM5tR_x", None, "", "password=" + "a" * 50 + "f" * 30, "again Example12345678Example5678 here", "again Example12345678Example5678 there", "again Example12345678Example5678 twice",
+    "é eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4 http://me:hunter22@host x AKIA0a", "-----BEGIN RSA PRIVATE KEY-----\nMIIEpAIBAAK\n-----END RSA PRIVATE KEY----- a-long-slug-of-words-2023-11-05",
 ]
+GENERIC = re.compile(secret_scan.GENERIC)
+
+
+def brute_scan(rows, share=0.1):
+    """rows: (id, text, owner, repository). (id, base spans, owned spans, examples) by pairs of spans and sets of owners."""
+
+    def candidate(v):
+        if len(v) < 8:
+            return False
+        if v.startswith(("://", "-----BEGIN ", "eyJ")) and not (v.startswith("eyJ") and "." not in v):
+            return True
+        return sum(c.isdigit() for c in v) >= 3 and sum(c.isalpha() for c in v) >= 3 and re.search("[A-Za-z0-9]{16}", v) is not None
+
+    held, owners, repositories = [], {}, {}
+    for i, t, owner, repository in rows:
+        base = brute_spans(t or "")
+        values = set()
+        for a, k, b in base:
+            v = re.search("[A-Za-z0-9+/_.=-]+$", t[a:b])[0] if k == 0 else t[a:b]
+            if k == 0:  # the value is the group, not the longest tail
+                v = re.match(ASSIGN_VALUE, t[a:b])[1]
+            values.add((b - len(v), b))
+        for m in GENERIC.finditer(t or ""):
+            if candidate(m[0]) and all(b <= m.start() or m.end() <= a for a, _, b in base):
+                values.add((m.start(), m.end()))
+        held.append((i, base, values, t))
+        for a, b in values:
+            owners.setdefault(t[a:b], set()).add(owner)
+            repositories.setdefault(t[a:b], set()).add(repository)
+    few_o, few_r = (max(1, int(share * len({r[k] for r in rows}))) for k in (2, 3))
+    live = {v for v in owners if len(owners[v]) <= few_o and len(repositories[v]) <= few_r}
+    return [(i, base, {x for x in values if t[x[0] : x[1]] in live}, sum(t[a:b] not in live for a, b in values)) for i, base, values, t in held]
+
+
+ASSIGN_VALUE = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def check_scan(spark, rows):
+    """rows by SCHEMA against brute_scan; ids may repeat."""
+    got = secret_scan.scan(spark.createDataFrame(rows, SCHEMA), keep=["doc_id"]).collect()
+    want = brute_scan([(r[0], r[1], r[3], (r[3], r[2])) for r in rows])
+    names = ("assign", "access", "hex")
+    told = []
+    for i, base, owned, examples in want:
+        listed = [(a, k, b, names[k]) for a, k, b in base]
+        text = ",".join(f"{n}:{a}:{b}" for a, k, b, n in listed)
+        spans = ",".join(f"{n}:{a}:{b}" for a, k, b, n in sorted([*listed, *((a, 4, b, "owned") for a, b in owned)]))
+        told.append((i, *(sum(k == x for _, k, _, _ in listed) for x in range(3)), hashlib.sha256(text.encode()).hexdigest(), spans, len(owned), examples))
+    assert sorted(tuple(r[c] for c in ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example")) for r in got) == sorted(told)
+    return {r["doc_id"]: r for r in got}
 
 
 def test_secret_scan(spark, none):
     rows = [(i, t, "en", f"s{i}", 1, "c") for i, t in enumerate(SECRETS)]
-    rows.append(rows[0])
-    got = secret_scan.scan(spark.createDataFrame(rows, SCHEMA), keep=["doc_id"]).collect()
-    assert len(got) == len(rows)
-    names = ("assign", "access", "hex")
-    for r in got:
-        spans = brute_spans(SECRETS[r["doc_id"]] or "")
-        text = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
-        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == i for _, k, _ in spans) for i in range(3))
-        assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
-        assert set(filter(None, text.split(","))) <= set(r["spans"].split(","))
-    by = {r["doc_id"]: r for r in got}
+    by = check_scan(spark, [*rows, rows[0]])
     assert by[6]["spans"] == "owned:5:26" and by[6]["n_live"] == 1
     assert by[10]["spans"] == "" and by[10]["n_example"] == 1  # three owners carry it
+    assert by[14]["spans"].startswith("owned:0:") and by[14]["n_live"] == 1  # the slug has no core
     assert secret_scan.scan(none, keep=["doc_id"]).count() == 0
 
 
+def test_secret_scan_tells_copied_examples_from_owned_keys(spark):
+    rng = random.Random(3)
+    examples = [f"token = \"{rng.getrandbits(160):040x}\"" for _ in range(5)] + [f"Bearer {rng.getrandbits(100):025X}k9k" for _ in range(5)]
+    keys = {i: f"key {rng.getrandbits(120):030X}x1x" for i in range(0, 1000, 10)}
+    rows = []
+    for i in range(1000):
+        owner = f"owner{i % 40}" if i % 3 else "hot"  # a third of all rows have one owner
+        text = f"{sentence(rng, 10)} {examples[i % 10] if i % 2 else ''} {keys.get(i, '')} {sentence(rng, 5)}"
+        rows.append((i, text, "en", owner, 1, f"p{i}"))
+    by = check_scan(spark, rows)
+    assert all(by[i]["n_live"] == 1 for i in keys) and all(by[i]["n_live"] == 0 for i in range(1000) if i not in keys)
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"{i:032x} K{i:020d}abC" for i in range(1500)) + " " + "x" * 5000
+    rows = [(1, text, "en", "a", len(text), "c"), (2, "plain", None, None, 5, "c")]
+    by = check_scan(spark, rows)
+    assert by[1]["n_live"] == 3000
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redact(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1] == " ".join(["[secret]"] * 3000) + " " + "x" * 5000 and got[2] == "plain"
+
+
 def test_redact(spark, docs):
     rows = [(i, t, "en", f"s{i}", 1 if t is None else len(t), "c") for i, t in enumerate(SECRETS)]
     df = spark.createDataFrame(rows, SCHEMA)
     got = {r["doc_id"]: r for r in secret_scan.redact(df).collect()}
-    for i, t, *_ in rows:
+    told = brute_scan([(r[0], r[1], r[3], (r[3], r[2])) for r in rows])
+    for (i, t, *_), (_, base, owned, _) in zip(rows, told):
         if t is None:
             assert got[i]["text"] is None
             continue
-        assert not brute_spans(got[i]["text"]) and got[i]["n_chars"] == len(got[i]["text"])
+        hidden = {p for a, b in [*((a, b) for a, _, b in base), *owned] for p in range(a, b)}
+        left = "".join(c if p not in hidden else ("\0" if p - 1 not in hidden or any(p == a for a, _, _ in base) and all(not a < p < b for a, _, b in base) else "") for p, c in enumerate(t))
+        assert got[i]["text"] == left.replace("\0", "[secret]") and got[i]["n_chars"] == len(got[i]["text"])
+        assert not brute_spans(got[i]["text"])
     assert got[6]["text"] == "live [secret]" and got[10]["text"] == SECRETS[10] and got[4]["text"] == "\U0001f600 [secret] \U0001f600 [secret]"
     assert sorted(map(str, secret_scan.redact(docs).collect())) == sorted(map(str, docs.collect()))
 
 
 def test_redaction_counts_owners_as_the_scan_does(spark):
-    value = "abcdef-1234567890-xyzw"
+    value = "abcdef1234567890xyzw"
     rows = [(i, f"password={value}" if i else f"bare {value}", "en", f"s{i}", 0, None) for i in range(5)]
     df = spark.createDataFrame(rows, SCHEMA)
     spans = {r["doc_id"]: r["spans"] for r in secret_scan.scan(df, keep=["doc_id"]).collect()}
