@@ -246,10 +246,99 @@ def test_html_pages_of_the_test_data(spark):
         assert got[r["page_id"]] == "\n\n".join(b for b in blocks if b)
 
 
+PROBE = """<html><body><div class="top">Home News {n}</div><div class="box"><h1>Head {i}</h1><p>Please accept our policy of the {t} cookies.</p><p>{a}</p><p class="tags-note">Noted {i} in passing.</p>
+<div class="social contract">The contract of {i} is signed.</div><p>{b}</p><p>By the same writer</p><div class="comments"><p>Reader {i} says {b}</p></div><ul><li><a href="/x">More {i}</a></li></ul></div></body></html>"""
+
+
+def test_html_fixed_lines_go_and_named_content_stays(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for i in range(6):
+        a, b = sentence(rng, 30), "the policy " + sentence(rng, 40)
+        rows.append((i, f"http://six.example/{i}", PROBE.format(i=i, a=a, b=b, t="", n=i)))
+        want[i] = "\n\n".join([f"Head {i}", a, f"Noted {i} in passing.", f"The contract of {i} is signed.", b])
+    frames = [("<div>{nav}</div><main>{x}</main>", "Alpha menu"), ("<table><tr><td>{nav}</td><td>{x}</td></tr></table>", "Beta menu"), ("<section>{x}</section><p>{nav}</p>", "Gamma menu")]
+    for i in range(12):
+        frame, nav = frames[i % 3]
+        a, b = sentence(rng, 20), sentence(rng, 20)
+        rows.append((10 + i, f"http://three.example/{i}", "<html><body>" + frame.format(nav=nav, x=f"<p>{a}</p><p>{nav}</p><p>{b}</p>") + "</body></html>"))
+        want[10 + i] = f"{a}\n\n{b}"
+    long_name = "n" * 60
+    deep = "".join(f'<div class="{long_name}{"x" * k}">' for k in range(20))
+    for i in range(4):
+        rows.append((30 + i, f"http://deep.example/{i}", f"<body><div>menu {i}</div>{deep}<p>{'text ' * 30}{i}</p></body>"))
+        want[30 + i] = "text " * 30 + str(i)
+    copies = "<body><div><p>All the same here</p><p>and here</p></div></body>"
+    rows += [(40 + i, "http://copies.example/", copies) for i in range(5)]
+    want |= {40 + i: "All the same here\n\nand here" for i in range(5)}
+    got = {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)).collect()}
+    assert got == want
+
+
+def test_html_very_deep_and_broken_markup():
+    deep = "<div>" * 30000 + "core text" + "</span></p>" * 1000
+    assert html_template.article(deep) == "core text"
+    assert html_template.article("<p>a<svg>" + "<svg>b" * 3000) == "ab" + "b" * 2999
+    assert html_template.article("</div></p><p>x<i>y</p>z<p") == "xy\n\nz"
+
+
+def brute_classes(pages, support):
+    """Equivalence classes of a host by comparing whole count vectors: {vector: (tag paths, last words)} where a tag anchors them."""
+    counts = []
+    for page in pages:
+        nodes, blocks = html_template.read(page)
+        path = lambda x: (path(x.parent) if x.parent is not None else ()) + (x.label,)
+        counts.append(Counter([(0, path(x)) for x in nodes] + [(1, path(x), line) for x, line in blocks if not x.away]))
+    out = {}
+    for token in {t for c in counts for t in c}:
+        vector = tuple(c[token] for c in counts)
+        if sum(v > 0 for v in vector) >= support:
+            out.setdefault(vector, (set(), set()))[token[0]].add(token)
+    return {v: x for v, x in out.items() if x[0]}
+
+
+def small_site(rng):
+    """A site of one to three templates: frames with fixed lines, repeated records, optional parts and slots."""
+    frames = []
+    for k, box in enumerate(rng.sample(["div", "section", "main", "td"], rng.randrange(1, 4))):  # templates differ in their tags
+        cls = rng.choice(["", f' class="b{chr(97 + k)}"', f' id="content{chr(97 + k)}"'])
+        frames.append((box, cls, [f"fixed line {k} {j}" for j in range(rng.randrange(0, 3))], rng.random() < 0.5, rng.random() < 0.5))
+    pages, want = [], []
+    for i in range(rng.randrange(3 * len(frames), 16)):
+        box, cls, fixed, menu, notes = frames[i % len(frames)]
+        paragraphs = [sentence(rng, rng.randrange(12, 30), 10_000) for _ in range(rng.randrange(2, 5))]
+        inner = "".join(f"<p>{x}</p>" for x in fixed[:1]) + "".join(f"<p>{x}</p>" for x in paragraphs) + "".join(f"<div>{x}</div>" for x in fixed[1:])
+        listed = "<ul>" + "".join(f"<li><a href=/{j}>link {rng.randrange(99)}</a></li>" for j in range(3)) + "</ul>" if menu else ""
+        noted = f"<p>Served in {i} ms</p>" if notes else ""
+        pages.append(f"<html><body>{listed}<div>{noted}</div><{box}{cls}>{inner}</{box}><footer>end {i}</footer></body></html>")
+        want.append("\n\n".join(paragraphs))
+    return pages, want
+
+
+def test_template_deduction_against_brute_force(spark):
+    rng = random.Random(12)
+    sites = [small_site(rng) for _ in range(200)]
+    rows = [(k * 100 + i, f"http://site{k}.example/{i}", page) for k, (pages, _) in enumerate(sites) for i, page in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(7)
+    stats = html_template.token_stats(df.select("html", html_template.host_of().alias("host"))).collect()
+    by_host = {}
+    for r in stats:
+        by_host.setdefault(r["host"], []).append(r)
+    for k, (pages, _) in enumerate(sites):
+        kept = [r for r in by_host[f"site{k}.example"] if r["pages"] >= 3]
+        made = html_template.equivalence_classes([(r["kind"], r["token"], r["parent"], r["depth"], tuple(r[c] for c in html_template.VECTOR)) for r in kept])
+        brute = brute_classes(pages, 3)
+        shape = lambda pages_, n, t, w: (pages_, n, len(t), len(w))
+        assert sorted(shape(c["pages"], c["occurrences"], c["tags"], c["words"]) for c in made) == sorted(shape(sum(x > 0 for x in v), sum(v), *x) for v, x in brute.items())
+    got = {r["page_id"]: r["text"] for r in html_template.extract(df).collect()}
+    wrong = [(k, i) for k, (_, want) in enumerate(sites) for i, text in enumerate(want) if got[k * 100 + i] != text]
+    assert len(wrong) == 0, (len(wrong), wrong[:3], [got[k * 100 + i] for k, i in wrong[:2]], [sites[k][0][i] for k, i in wrong[:2]])
+
+
 def test_equivalence_classes():
-    rows = [("/a", 5, 5, 1, 1), ("/a/b", 5, 5, 1, 1), ("/a/b/li", 5, 20, 7, 9), ("/a/b/li/x", 5, 20, 7, 9)]
+    rows = [(0, 1, 0, 1, (5, 5, 1, 1)), (0, 2, 1, 2, (5, 5, 1, 1)), (0, 3, 2, 3, (5, 20, 7, 9)), (0, 4, 3, 4, (5, 20, 7, 9)), (1, 9, None, None, (5, 5, 1, 1)), (1, 8, None, None, (4, 4, 2, 2))]
     classes = html_template.equivalence_classes(rows)
-    assert [c["tokens"] for c in classes] == [["/a", "/a/b"], ["/a/b/li", "/a/b/li/x"]] and classes[1]["parent"] == 0 and all(c["valid"] for c in classes)
+    assert [(c["tags"], c["words"]) for c in classes] == [([1, 2], [9]), ([3, 4], [])] and classes[1]["parent"] == 0 and all(c["valid"] for c in classes)
 
 
 # op4
