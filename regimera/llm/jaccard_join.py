@@ -3,15 +3,15 @@
 A document's set holds the 64-bit hashes of its distinct 5-word shingles. Two documents link when their sets overlap in
 80 % of the union or more. Linked documents form components; no link between different texts is lost.
 
-1. Every set gets a digest (its node): exact copies are one node from here on. Two sketches of fixed size count shingles
-   and words by hashed slot over all documents. Shingle slots far above the mean mark the passages that many documents
+1. Every set gets a digest (its node): exact copies are one node from here on. Two sketches count shingles and words by
+   hashed slot over all documents, a slot for each row of the table within limits; tasks' sketches are summed FAN at a time. Shingle slots far above the mean mark the passages that many documents
    share; the word counts tell how often a shingle is to be expected by chance.
 2. Sets that link share one of the first n - ceil(0.8 n) + 1 shingles of each, in any one order of all shingles; the
    order is by expected frequency (common ones last), then hash. Those prefixes go, packed, to the partition of each shingle.
 3. A shingle's list of nodes is cut into size bands (factor 1.25; only the same or neighbouring bands can link). Each
    member is paired with its band's leader, leaders of neighbouring bands with each other: pairs grow in proportion to
-   the list, never with its square. Lists of three and more are kept: those with the same least node become one group,
-   a node in it once, so a family of near copies is a few groups, not one for each shingle.
+   the list, never with its square. Lists of three and more are kept under their least node, where the list is whole: lists
+   with the same least node are one group, a node in it once, so a family of near copies is a few groups, not one for each shingle.
 4. In a group blocks of nodes meet in tiles. Bitmaps, as wide as the size band asks, bound the overlap from above by
    (|x| + |y| - popcount(x xor y)) / 2. A tile yields each node's few best partners, not its pairs. These and the pairs of
    step 3 that the bitmaps leave are checked by exact intersection of sorted arrays; links give first components.
@@ -20,9 +20,11 @@ A document's set holds the 64-bit hashes of its distinct 5-word shingles. Two do
    Then every pair that could link lies in one component or has been checked exactly.
 
 Scale: texts are never shuffled. Prefixes are about a fifth of all shingles at 8 bytes each; sets (8 bytes a shingle)
-move only for nodes in some pair that the bitmaps left, chosen by a Bloom filter of fixed size. A shingle whose sketch count exceeds
+move only for nodes in some pair that the bitmaps left, chosen by a Bloom filter of 16 bits a node, or by a join where that
+would be over 2**BLOOM_MOST bits. A shingle whose sketch count exceeds
 `salt_at` has its list split by node over several partitions; the leaders of the parts are then paired with the least
-of them. Groups of more than GROUP_ROWS nodes are dealt as pairs of blocks to several tasks. The driver receives the sketch and the filter, both of fixed size.
+of them. Groups of more than GROUP_ROWS nodes are dealt as pairs of blocks to several tasks. The driver receives the
+sketch and the filter, both of bounded size.
 
 Cases: null and blank texts have an empty set, no links, and are components of their own; repeated rows (same id) keep a
 row each; a null id takes part and is never the smallest unless alone; with fewer than five words the whole sequence is
@@ -35,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +48,12 @@ from .textkernel import Words, chunks, give_back, lean, mix64, shingle_sets
 SIZE = 5
 #: Links need NUMERATOR / DENOMINATOR of the union.
 NUMERATOR, DENOMINATOR = 4, 5
-SKETCH_BITS = 18
-BLOOM_BITS = 23
+#: Slots of a sketch as a power of two: one for each row of the table, between these.
+SKETCH_BITS, SKETCH_MOST = 18, 22
+#: Sketches summed in one task.
+FAN = 64
+#: Bits of the Bloom filter as a power of two, at least and at most (32 MB).
+BLOOM_BITS, BLOOM_MOST = 20, 28
 LEAST_BITS = 512
 #: Bits of the bitmaps for each shingle: in the first round, and in the later ones.
 NARROW, WIDE = 1, 8
@@ -127,51 +134,65 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         yield a, b, sets, offs
 
 
-_PROFILE = "doc_id bigint, n_shingles bigint, node bigint, signature binary, slice int, counts binary"
+_PROFILE = "doc_id bigint, n_shingles bigint, node bigint, signature binary, slice int, part int, counts binary"
 
 
-def profile(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, signature) of each document, and slices of the shingle sketch (slice, counts)."""
+def sketch_bits(docs: DataFrame) -> int:
+    return min(SKETCH_MOST, max(SKETCH_BITS, docs.count().bit_length()))
+
+
+def profile(docs: DataFrame, width_bits: int = SKETCH_BITS) -> DataFrame:
+    """(doc_id, n_shingles, node, signature) of each document, and slices of each task's sketch (slice, part, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half_size = 1 << SKETCH_BITS  # shingles, then words
+        half_size, part = 1 << width_bits, TaskContext.get().partitionId()  # shingles, then words
         sketch = np.zeros(2 * half_size, np.int64)
-        names, types = ["doc_id", "n_shingles", "node", "signature", "slice", "counts"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+        names, types = ["doc_id", "n_shingles", "node", "signature", "slice", "part", "counts"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             for a, b, data, offsets in chunks(batch.column(1)):
                 words = Words(data, offsets)
                 sets, offs = shingle_sets(words, SIZE)
                 for half, hashes in ((0, sets), (half_size, words.hash)):
-                    slots, n = np.unique((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
+                    slots, n = np.unique((hashes >> np.uint64(64 - width_bits)).astype(np.int64), return_counts=True)
                     sketch[half + slots] += n
                 arrays = [batch.column(0)[a:b], pa.array(np.diff(offs), pa.int64()), pa.array(nodes_of(sets, offs), pa.int64()), pa.array(signatures(sets, offs), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(b - a, types[4]), pa.nulls(b - a, types[5])], names)
+                yield pa.RecordBatch.from_arrays([*arrays, *(pa.nulls(b - a, t) for t in types[4:])], names)
         if sketch.any():
             parts = [x.astype("<u8" if x.max() >> 32 else "<u4").tobytes() for x in np.split(sketch, 16)]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(16, t) for t in types[:4]), pa.array(range(16), types[4]), pa.array(parts, types[5])], names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(16, t) for t in types[:4]), pa.array(range(16), types[4]), pa.array([part] * 16, types[5]), pa.array(parts, types[6])], names)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lean(run), _PROFILE)
 
 
-def read_sketch(profiled: DataFrame) -> np.ndarray:
-    """The sketches (shingles, words) summed over all tasks, slice by slice; twice 2**SKETCH_BITS counts reach the driver."""
-    width = (2 << SKETCH_BITS) // 16
+def read_sketch(profiled: DataFrame, width_bits: int = SKETCH_BITS, fan: int = FAN) -> np.ndarray:
+    """The sketches (shingles, words) summed over all tasks, `fan` tasks' slices at a time; twice 2**width_bits counts reach the driver."""
+    width = (2 << width_bits) // 16
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(width, np.int64)
         for x in table.column("counts"):
-            raw = x.as_py()
-            total += np.frombuffer(raw, "<u8" if len(raw) == 8 * width else "<u4").astype(np.int64)
+            raw = x.as_buffer()
+            total += np.frombuffer(raw, "<u8" if raw.size == 8 * width else "<u4").astype(np.int64)
         give_back()
-        return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    out = np.zeros(2 << SKETCH_BITS, np.int64)
-    rows = profiled.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
-    for r in rows:
-        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(bytes(r["counts"]), np.int64)
+        return pa.table({"slice": table.column("slice")[:1], "part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    parts = profiled.where("slice is not null").select("slice", "part", "counts")
+    left = (parts.agg(F.max("part")).first()[0] or 0) + 1
+    while left > 1:
+        left = -(-left // fan)
+        parts = parts.withColumn("part", F.floor(F.col("part") / fan).cast("int")).groupBy("slice", "part").applyInArrow(add, "slice int, part int, counts binary")
+    out = np.zeros(2 << width_bits, np.int64)
+    for r in parts.collect():
+        raw = bytes(r["counts"])
+        out[r["slice"] * width : (r["slice"] + 1) * width] += np.frombuffer(raw, "<u8" if len(raw) == 8 * width else "<u4").astype(np.int64)
     return out.reshape(2, -1)
 
 
+def slots(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The slot of each hash in an array of counts, a power of two of them."""
+    return (hashes >> np.uint64(65 - len(counts).bit_length())).astype(np.int64)
+
+
 def classes_of(sketch: np.ndarray, salt_at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(frequency class of each shingle slot, bits of salt, cost of each word slot in quarter bits, words in quarter bits).
 
@@ -203,7 +224,7 @@ def prefixes(docs: DataFrame, shared, bits: int) -> DataFrame:
         def send() -> pa.RecordBatch:
             token, node, size = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            slot = (token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+            slot = slots(token, salting)
             salt = (mix64(node.view(np.uint64)).astype(np.int64)) & ((1 << salting[slot].astype(np.int64)) - 1)
             bucket = (mix64(token) >> np.uint64(64 - bits)).astype(np.int64) | salt << bits
             order = np.argsort(bucket, kind="stable")
@@ -220,13 +241,13 @@ def prefixes(docs: DataFrame, shared, bits: int) -> DataFrame:
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(0)):
                 words = Words(data, offsets)
-                sets, offs, paid = shingle_sets(words, SIZE, cost[(words.hash >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])
+                sets, offs, paid = shingle_sets(words, SIZE, cost[slots(words.hash, cost)])
                 size, node = np.diff(offs), nodes_of(sets, offs)
                 fresh = np.array([s > 0 and not (x in seen or seen.add(x)) for x, s in zip(node.tolist(), size.tolist())], bool)
                 doc = np.repeat(np.arange(len(size)), size)
                 # Half powers of two of the count to be expected by chance, from a sixteenth on.
                 chance = np.clip(np.floor((whole - paid) / 2) + 8, 0, 255).astype(np.int64)
-                key = doc * 256 + np.maximum(chance, rank[(sets >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])
+                key = doc * 256 + np.maximum(chance, rank[slots(sets, rank)])
                 order = np.argsort(key, kind="stable")  # within a class the hashes are sorted already
                 place = np.arange(len(sets)) - np.repeat(offs[:-1], size)
                 length = size + 1 - -(-NUMERATOR * size // DENOMINATOR)
@@ -256,7 +277,8 @@ def _unpack(blobs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.concatenate(token), np.concatenate(node), np.concatenate(size)
 
 
-#: kind 0: a pair (a, b) and the lists it shares; 1: a member b of list a; 2: the leader b of band `band` in a part of list a.
+#: kind 0: a pair (a, b) and the lists it shares; 1: a member b of a list with least node a; 2: the leader b of band `band` in a part of list a;
+#: 3: a member b of a part of list a.
 _LISTS = "kind int, a bigint, b bigint, band int, times bigint"
 
 
@@ -277,7 +299,7 @@ def lists(packed: DataFrame, salted_slots: np.ndarray) -> DataFrame:
         token, node, size = token[fresh], node[fresh], size[fresh]
         start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         count = np.diff(np.append(start, len(token)))
-        split = np.repeat(np.isin((token[start] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), chosen), count)
+        split = np.repeat(np.isin(slots(token[start], salted_slots), chosen), count)
         many = np.repeat(count, count)
         keep = (many > 1) | split
         token, node, size, many, split = token[keep], node[keep], size[keep], many[keep], split[keep]
@@ -316,8 +338,12 @@ def lists(packed: DataFrame, salted_slots: np.ndarray) -> DataFrame:
         if len(low):
             at = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
             rows.append((0, low[at], high[at], np.zeros(len(at), int), np.add.reduceat(w, at)))
-        three = (many > 2) | split
-        rows.append((1, token[three].view(np.int64), node[three], np.zeros(three.sum(), int), np.zeros(three.sum(), int)))
+        three = (many > 2) & ~split
+        at = np.flatnonzero(new_list)
+        least = np.repeat(np.minimum.reduceat(node, at), np.diff(np.append(at, len(node))))
+        group = np.unique(np.stack([least[three], node[three]]), axis=1)
+        rows.append((1, group[0], group[1], np.zeros(group.shape[1], int), np.zeros(group.shape[1], int)))
+        rows.append((3, token[split].view(np.int64), node[split], np.zeros(split.sum(), int), np.zeros(split.sum(), int)))
         top = new_band & split
         rows.append((2, token[top].view(np.int64), node[top], band[top], np.zeros(top.sum(), int)))
         return _table(rows)
@@ -334,27 +360,29 @@ def _table(rows: list) -> pa.Table:
     return pa.table({"kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "band": pa.array(band, pa.int32()), "times": pa.array(times, pa.int64())})
 
 
-def bloom(nodes: DataFrame) -> np.ndarray:
-    """A Bloom filter of 2**BLOOM_BITS bits over column node, two bits a node; built by bit_or, at most 2**(BLOOM_BITS - 6) rows reach the driver."""
-    mask = (1 << BLOOM_BITS) - 1
-    bit = F.explode(F.array(F.col("node").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("node", 40).bitwiseAND(F.lit(mask))))
+def bloom(nodes: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of 2**bits bits over column node, two bits a node; built by bit_or, at most 2**(bits - 6) rows reach the driver."""
+    mask = (1 << bits) - 1
+    bit = F.explode(F.array(F.col("node").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("node", 32).bitwiseAND(F.lit(mask))))
     rows = nodes.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
     return out
 
 
 def _in_bloom(words: np.ndarray, node: np.ndarray) -> np.ndarray:
-    mask = (1 << BLOOM_BITS) - 1
+    mask = 64 * len(words) - 1
     ok = np.ones(len(node), bool)
-    for bit in (node & mask, (node.view(np.uint64) >> np.uint64(40)).astype(np.int64) & mask):
+    for bit in (node & mask, (node.view(np.uint64) >> np.uint64(32)).astype(np.int64) & mask):
         ok &= (words[bit >> 6] >> (bit & 63)) & 1 == 1
     return ok
 
 
-def set_table(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def set_table(docs: DataFrame, pairs: DataFrame, most: int = BLOOM_MOST) -> DataFrame:
     """(node, size, signature, members) once for each node of the pairs; the bitmaps are the wide ones."""
-    words_of = docs.sparkSession.sparkContext.broadcast(bloom(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    bits = max(BLOOM_BITS, (32 * pairs.count()).bit_length())
+    words_of = docs.sparkSession.sparkContext.broadcast(bloom(asked, bits) if bits <= most else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of.value
@@ -362,7 +390,8 @@ def set_table(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             for _, _, sets, offs in _sets(batch.column(0)):
                 node, size = nodes_of(sets, offs), np.diff(offs)
-                pick = [i for i in np.flatnonzero((size > 0) & _in_bloom(words, node)).tolist() if not (int(node[i]) in seen or seen.add(int(node[i])))]
+                may = size > 0 if words is None else (size > 0) & _in_bloom(words, node)
+                pick = [i for i in np.flatnonzero(may).tolist() if not (int(node[i]) in seen or seen.add(int(node[i])))]
                 if len(seen) > 1 << 20:
                     seen.clear()
                 members = [sets[offs[i] : offs[i + 1]] for i in pick]
@@ -373,7 +402,8 @@ def set_table(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     ["node", "size", "signature", "members"],
                 )
 
-    return docs.select("text").mapInArrow(lean(run), "node bigint, size bigint, signature binary, members binary").dropDuplicates(["node"])
+    found = docs.select("text").mapInArrow(lean(run), "node bigint, size bigint, signature binary, members binary").dropDuplicates(["node"])
+    return found if bits <= most else found.join(asked.distinct(), "node", "left_semi")
 
 
 def prune(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -500,8 +530,9 @@ def _join(docs: DataFrame, salt_at: int) -> DataFrame:
     """All steps with Python in them end in a written table; what is returned are joins of such tables."""
     spark = docs.sparkSession
     context, bits = spark.sparkContext, bucket_bits(docs)
-    profiled = materialise(profile(docs), "join-profile")
-    rank, salting, cost, whole = classes_of(read_sketch(profiled), salt_at)
+    width = sketch_bits(docs)
+    profiled = materialise(profile(docs, width), "join-profile")
+    rank, salting, cost, whole = classes_of(read_sketch(profiled, width), salt_at)
     packed = prefixes(docs, context.broadcast((rank, salting, cost, whole)), bits)
     listed = materialise(lists(packed, salting > 0), "join-lists")
     pairs = listed.where("kind = 0").select("a", "b", "times")
@@ -515,9 +546,12 @@ def _join(docs: DataFrame, salt_at: int) -> DataFrame:
     light = profiled.where("n_shingles > 0").groupBy("node").agg(F.max("n_shingles").alias("size"), F.min("signature").alias("signature"))
     nodes = materialise(light, "join-nodes")
     # Lists with the same least node are one group; each node knows the groups it is in.
-    members = listed.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("node"))
-    heads = members.groupBy("list").agg(F.min("node").alias("head"))
-    grouped = members.join(heads, "list").select(F.col("head").alias("list"), "node").distinct()
+    grouped = listed.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("node"))
+    if (salting > 0).any():  # a row for each list that is split: written, so that the engine knows how few
+        members = listed.where("kind = 3").select(F.col("a").alias("token"), F.col("b").alias("node"))
+        heads = materialise(members.groupBy("token").agg(F.min("node").alias("list")), "join-heads")
+        grouped = grouped.unionByName(members.join(heads, "token").select("list", "node"))
+    grouped = grouped.distinct()
     lists_of = grouped.groupBy("node").agg(F.collect_list("list").alias("lists"))
     groups = materialise(grouped.join(lists_of, "node"), "join-groups")
     # First round: every node is a component of its own.

@@ -196,6 +196,19 @@ def test_one_of_each(docs):
     assert sorted(r["doc_id"] for r in shuffled) == sorted(ids)
 
 
+def test_sketch_sums_and_sets_beyond_the_filter(spark, docs):
+    some = docs.select("doc_id", "text").repartition(37)
+    profiled = jaccard_join.profile(some).cache()
+    one, few = jaccard_join.read_sketch(profiled, fan=1000), jaccard_join.read_sketch(profiled, fan=2)
+    shingles = sum(r["n_shingles"] for r in profiled.where("slice is null").collect())
+    assert np.array_equal(one, few) and one[0].sum() == shingles and one[1].sum() == sum(len(words(r[1])) for r in corpus())
+    nodes = [r["node"] for r in profiled.where("n_shingles > 0").select("node").distinct().limit(9).collect()]
+    pairs = spark.createDataFrame(list(zip(nodes, nodes[1:])), "a long, b long")
+    joined = jaccard_join.set_table(some, pairs, most=0).select("node", "size", "members").collect()
+    held = {r["node"]: r for r in jaccard_join.set_table(some, pairs).select("node", "size", "members").collect()}
+    assert {r["node"] for r in joined} == set(nodes) and all(held[r["node"]] == r for r in joined)
+
+
 def test_bitmap_bound():
     rng = np.random.default_rng(0)
     for _ in range(200):
