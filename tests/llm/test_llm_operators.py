@@ -440,9 +440,60 @@ def test_lm_scoring(docs, none):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(counts[x] > 0 for x in w), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w))
         assert r["score"] < 0
+    want = brute_scores(60, 64)
+    assert all(r["score"] == pytest.approx(want[texts[r["doc_id"]]], rel=1e-4) for r in rows)
     assert lm_lbl.score_corpus(none, steps=5).count() == 0
 
 
+def brute_scores(steps, head):
+    """text -> score, token by token, from dictionaries of counts; the model is trained from the same trigram counts."""
+
+    def keys(text):
+        raw = [w.encode() for w in words((text or "").translate(FOLD))]
+        return [int(lm_lbl.token_keys(np.frombuffer(w, np.uint8), Words(np.frombuffer(w, np.uint8), np.array([0, len(w)])))[0]) for w in raw]
+
+    train = [keys(r[1]) for r in corpus() if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    counts = Counter(k for t in train for k in t)
+    bins = Counter(math.floor(math.log2(v) * 6) for v in counts.values())
+    least = min((b for b in bins if sum(n for x, n in bins.items() if x >= b) <= head), default=99)
+    often = [k for k in counts if math.floor(math.log2(counts[k]) * 6) >= least]
+    units = {k: 2 + i for i, k in enumerate(sorted(often, key=lambda k: (-counts[k], k))[: lm_lbl.UNITS])}
+    class_of = lambda k: units.get(k, 2 + lm_lbl.UNITS + k % lm_lbl.SUFFIXES)
+
+    def trigrams(t):
+        seq = [0, 0, *map(class_of, t), 1]
+        return list(zip(seq, seq[1:], seq[2:]))
+
+    found = Counter(x for t in train for x in trigrams(t))
+    c = lm_lbl.CLASSES
+    coded = sorted(((a * c + b) * c + x, n) for (a, b, x), n in found.items())
+    table = lm_lbl.log_table(lm_lbl.train(np.array([k for k, _ in coded]), np.array([n for _, n in coded]), steps=steps))
+    once, twice = (sum(v == i for v in counts.values()) for i in (1, 2))
+    off = min(0.95, max(0.05, once / (once + 2 * twice)))
+    tokens, kinds = Counter(), Counter()
+    for k, v in counts.items():
+        if k not in units:
+            tokens[class_of(k)] += v
+            kinds[class_of(k)] += 1
+
+    def within(k):
+        g = class_of(k)
+        if k in units or not tokens[g]:
+            return 0.0
+        return math.log10((counts[k] - off if counts[k] else off * kinds[g]) / tokens[g])
+
+    out = {}
+    for r in corpus():
+        t = keys(r[1])
+        out[r[1]] = sum(float(table[a * c + b, x]) for a, b, x in trigrams(t)) + sum(map(within, t))
+    return out
+
+
+def test_lm_gains_on_held_out_text(spark):
+    got = lm_lbl.score_corpus(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").groupBy().sum("score", "base_score", "n_tokens").first()
+    assert (got[0] - got[1]) / got[2] > 0.5
+
+
 def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     codes = np.unique(rng.integers(0, lm_lbl.CLASSES**3, 500))
@@ -454,11 +505,11 @@ def test_lm_probabilities_sum_to_one():
     suffix = (keys & np.uint64(lm_lbl.SUFFIXES - 1)).astype(int)
     np.add.at(tokens, suffix, counts)
     np.add.at(kinds, suffix, 1)
-    voc = lm_lbl.Vocabulary(keys, counts, tokens, kinds, len(keys), 10)
+    voc = lm_lbl.Vocabulary(keys, counts, tokens, kinds, len(keys), 0.6, 10)
     classes, c, found = voc.lookup(keys)
     for k in range(lm_lbl.SUFFIXES):
         inside = classes == 2 + lm_lbl.UNITS + k
-        assert found.all() and ((c[inside] + 1).sum() + 1) / 10 ** voc.room[k] == pytest.approx(1)
+        assert found.all() and (c[inside] - 0.6).sum() / 10 ** voc.room[k] + 10 ** voc.unseen[k] == pytest.approx(1)
 
 
 def test_lm_learns_context():
