@@ -19,7 +19,7 @@ _COUNTS = f"""d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') A
   {_PLACES}, {_FIVES}, g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM v WHERE g IS NOT NULL),
   rep AS (SELECT doc_id, count(DISTINCT i + k) AS rep FROM (SELECT doc_id, i FROM g WHERE c > 1), (SELECT unnest(range(0, 5)) AS k) GROUP BY 1),
   ln AS (SELECT doc_id, count(*) AS n, count(DISTINCT l) AS u FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE length(translate(l, {_BLANK}, '')) > 0 GROUP BY 1),
-  b AS (SELECT w.doc_id, stratum, len(w) AS n_words, length(translate(t, {_BLANK}, '')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+  b AS (SELECT w.doc_id, t, stratum, len(w) AS n_words, length(translate(t, {_BLANK}, '')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
     length(t) - length(translate(t, '{UPPER}', '')) AS n_upper, len(list_distinct(w)) AS n_distinct, coalesce(ln.n, 0) AS n_lines, coalesce(ln.n - ln.u, 0) AS n_dup_lines, coalesce(rep, 0) AS n_repeat_words
     FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id LEFT JOIN ln ON ln.doc_id = w.doc_id),
   f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
@@ -27,7 +27,7 @@ _COUNTS = f"""d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') A
 
 #: alpha 0.02 shared by five rules; delta 0.05 by rules and strata.
 QUALITY_RULES = f"""WITH {_COUNTS}, q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1 HAVING max(quality) IS NOT NULL),
-  h AS (SELECT stratum, quality = 1 AS good, unnest(range(0, 5)) AS rule, unnest(stats) AS level FROM f JOIN q ON q.doc_id = f.doc_id WHERE NOT base_failed),
+  h AS (SELECT stratum, quality = 1 AS good, unnest(range(0, 5)) AS rule, unnest(stats) AS level FROM (SELECT stratum, min(quality) AS quality, any_value(stats) AS stats FROM f JOIN q ON q.doc_id = f.doc_id WHERE NOT base_failed GROUP BY stratum, t)),
   c AS (SELECT stratum, rule, level, count(*) FILTER (good) AS g, count(*) FILTER (NOT good) AS b FROM h GROUP BY 1, 2, 3),
   t AS (SELECT *, sum(g) OVER (PARTITION BY stratum, rule) AS ng, sum(b) OVER (PARTITION BY stratum, rule) AS nb, sum(g) OVER (PARTITION BY stratum, rule ORDER BY level DESC) AS lost, sum(b) OVER (PARTITION BY stratum, rule ORDER BY level DESC) AS caught FROM c),
   p AS (SELECT *, CASE WHEN ng = 0 OR lost >= ng * 0.004 THEN 1.0 ELSE list_sum([exp(lgamma(ng + 1) - lgamma(i + 1) - lgamma(ng - i + 1) + i * ln(0.004) + (ng - i) * ln(0.996)) FOR i IN range(0, CAST(lost AS BIGINT) + 1)]) END AS p FROM t WHERE level > 0),

@@ -8,6 +8,8 @@ level delta over rules x strata (Bonferroni), so with probability 1 - delta no s
 alpha of its good documents to the rules. Among the certified cutoffs the one that best separates the
 labels is used; a rule with no certified cutoff never rejects.
 
+Copies of a text among the labelled documents of a stratum count once, as good only if every copy is.
+
 Cases: a null, empty or blank text has no words, zero statistics and fails the base rule. Repeated rows each
 get their own row. A document whose stratum has no labels is judged by the base rule alone. Ties at a cutoff
 are rejected (statistic >= cutoff). An empty table gives an empty result. Clashing column names in extra
@@ -32,6 +34,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rules: larger is worse, each in [0, 1].
 RULES = ("symbol", "upper", "dup_line", "repeat", "few_distinct")
 LEVELS = 100
+#: Terms of a tail below this share of its first are not summed.
+TERM_SHARE = 1e-18
 ALPHA = 0.02
 DELTA = 0.05
 #: A good document lost weighs as much as this many times the same share of bad ones caught.
@@ -113,10 +117,11 @@ def _ln_gamma(x: Column) -> Column:
     return series - shift
 
 
-def binomial_tail(k: Column, n: Column, p: float, terms: int = 4096) -> Column:
-    """P(Bin(n, p) <= k), summed downward from k; a bound on the terms past `terms` is added, so it never understates.
+def binomial_tail(k: Column, n: Column, p: float) -> Column:
+    """P(Bin(n, p) <= k) for k below the mean n p; 1.0 elsewhere, which certifies nothing.
 
-    Meant for k below the mean, where the terms fall; 1.0 elsewhere, which certifies nothing.
+    Summed downward from k to the last term that a double's sum still shows: each term is at most the ratio at k of the
+    one before, and terms past TERM_SHARE of the first change no digit, so their number grows with the root of n p.
     """
     k, n = k.cast("double"), n.cast("double")
     log_top = _ln_gamma(n + 1) - _ln_gamma(k + 1) - _ln_gamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
@@ -127,15 +132,10 @@ def binomial_tail(k: Column, n: Column, p: float, terms: int = 4096) -> Column:
         t = a["t"] * x * (1 - p) / ((n - x + 1) * p)
         return F.struct(t.alias("t"), (a["s"] + t).alias("s"))
 
-    stop = F.least(k, F.lit(float(terms))).cast("int")
-    run = F.aggregate(F.when(stop > 0, F.sequence(F.lit(1), stop)).otherwise(F.array().cast("array<int>")), start, step)
-
-    def close(r: Column) -> Column:
-        ratio = F.greatest(F.lit(0.0), (k - stop) * (1 - p) / ((n - k + stop + 1) * p))
-        rest = F.when(k > stop, r["t"] * ratio / (1 - ratio)).otherwise(0.0)
-        return F.least(F.lit(1.0), F.exp(log_top) * (r["s"] + rest))
-
-    return F.when((n <= 0) | (k >= n * p), F.lit(1.0)).otherwise(let(run, close))
+    # After j terms the product of ratios is below exp(-j (j - 1) / (2 (k + 1))), as ratio i is at most 1 - (i - 1) / (k + 1).
+    stop = F.least(k, F.ceil(F.sqrt(2 * (k + 1) * -math.log(TERM_SHARE))) + 2).cast("int")
+    run = F.aggregate(F.when(stop > 0, F.sequence(F.lit(1), stop)).otherwise(F.array().cast("array<int>")), start, step, lambda a: a["s"])
+    return F.when((n <= 0) | (k >= n * p), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(log_top) * run))
 
 
 def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -186,18 +186,21 @@ def judge(
     docs needs doc_id, text and the stratum column; labels needs doc_id and quality (1 is good). The counts are
     computed once and written to the shared folder, then the cutoffs are set from the labelled rows and applied.
     """
-    row = docs.select(F.struct(*keep).alias("row"), F.col("doc_id").alias("_id"), F.col("text").alias("text"), F.coalesce(F.col(stratum), F.lit("")).alias("stratum"))
+    text = F.col("text")
+    row = docs.select(F.struct(*keep).alias("row"), F.col("doc_id").alias("_id"), text.alias("text"), F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), F.xxhash64(text).alias("same"))
     q = F.col("_q")
     done = _finish(q)
     facts = base_features(row).select(
-        "row", "_id", "stratum",
+        "row", "_id", "stratum", "same",
         *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_repeat_words")],
         (q["lines"]["all"] - q["lines"]["distinct"]).cast("long").alias("n_dup_lines"),
         done["base_failed"].alias("base_failed"), done["stats"].alias("stats"),
     )
     facts = materialise(facts, "quality-rules")
     marks = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("quality")).where("quality is not null")
-    held = facts.where(~F.col("base_failed")).select("_id", "stratum", "stats").join(marks, "_id")
+    held = facts.where(~F.col("base_failed")).select("_id", "stratum", "same", "stats").join(marks, "_id")
+    # Copies are one trial: the binomial bound counts independent documents. One that is bad in any copy is bad.
+    held = held.groupBy("stratum", "same").agg(F.min("quality").alias("quality"), F.first("stats").alias("stats"))
     found = cutoffs(held.select("stratum", (F.col("quality") == 1).alias("good"), "stats"), alpha, delta)
     # One row for each stratum: an array with a cutoff (or none) for each rule.
     limits = found.groupBy("stratum").agg(
