@@ -7,7 +7,10 @@ end at the next element of the same or a higher level), undoes all three lacings
 frame: track, timestamp in microseconds, byte range in the file, key-frame flag, cluster; cues are checked against
 the clusters they point at.
 
-Cases: an empty payload gives a container without clusters; unknown elements are skipped by their size; a cut-off
+Elements may nest to any depth: the walk keeps its own stack. Timestamps, durations and sizes of any length are read.
+
+Cases: a null text is an empty one, and a null blob gives no packets; repeated rows are stored each; an empty table gives an
+empty result; extra columns are ignored; an empty payload gives a container without clusters; unknown elements are skipped by their size; a cut-off
 file yields the packets that are whole; bytes that are no EBML give no packets. Rows are independent, so nothing
 is shuffled and memory is bounded by the longest text.
 """
@@ -182,36 +185,50 @@ def parse(data: bytes) -> Parsed:
     def number(a: int, b: int) -> int:
         return int.from_bytes(data[a:b], "big")
 
-    def walk(at: int, end: int, inside: dict) -> int:
-        while at < end:
+    def leave(eid: int, here: dict, inside: dict) -> None:
+        """What a closed master hands to the one it lies in."""
+        if eid == TRACK_ENTRY:
+            out.tracks[here.get("track", 0)] = here
+        elif eid == AUDIO:
+            inside.update(here)
+        elif eid == CUE_TRACK_POSITIONS:
+            inside.setdefault("places", []).append((here.get("cue_track", 0), here.get("cue_at", -1)))
+        elif eid == CUE_POINT:
+            out.cues += [(here.get("time", 0), t, p) for t, p in here.get("places", [])]
+
+    # Open masters, innermost last: (id, end, ids that end it if its size is unknown, facts). No recursion: nesting may be any depth.
+    stack: list[tuple[int, int, set, dict]] = [(0, len(data), set(), {})]
+
+    def close() -> None:
+        eid, _, _, here = stack.pop()
+        leave(eid, here, stack[-1][3])
+
+    def walk() -> None:
+        at = 0
+        while True:
+            while len(stack) > 1 and at >= stack[-1][1]:
+                close()
+            if at >= stack[-1][1]:
+                return
             head = at
             eid, width = read_vint(data, at, True)
             size, more = read_vint(data, at + width, False)
             at += width + more
-            if inside.get("unknown") and eid in TOP and eid in inside["unknown"]:
-                return head
+            while len(stack) > 1 and eid in stack[-1][2]:
+                close()
+            _, end, _, inside = stack[-1]
             stop = end if size < 0 else at + size
             if stop > end:
                 if eid not in MASTERS:
                     raise IndexError("cut off")
                 stop = end
             if eid in MASTERS:
-                here: dict = {}
                 if eid == SEGMENT:
                     state["segment"] = at
                 elif eid == CLUSTER:
                     out.clusters.append(head - state["segment"])
-                if size < 0:
-                    here["unknown"] = TOP - {EBML, SEGMENT} if eid == CLUSTER else {EBML, SEGMENT}
-                at = walk(at, stop, here) if size < 0 else (walk(at, stop, here), stop)[1]
-                if eid == TRACK_ENTRY:
-                    out.tracks[here.get("track", 0)] = here
-                elif eid == AUDIO:
-                    inside |= here
-                elif eid == CUE_TRACK_POSITIONS:
-                    inside.setdefault("places", []).append((here.get("cue_track", 0), here.get("cue_at", -1)))
-                elif eid == CUE_POINT:
-                    out.cues += [(here.get("time", 0), t, p) for t, p in here.get("places", [])]
+                ends = set() if size >= 0 else TOP - {EBML, SEGMENT} if eid == CLUSTER else {EBML, SEGMENT}
+                stack.append((eid, stop, ends, {}))
                 continue
             if eid == TIMESTAMP:
                 state["clock"] = number(at, stop)
@@ -236,12 +253,12 @@ def parse(data: bytes) -> Parsed:
             elif eid == CUE_CLUSTER_POSITION:
                 inside["cue_at"] = number(at, stop)
             at = stop
-        return at
 
     try:
-        walk(0, len(data), {})
+        walk()
     except (IndexError, ValueError):
-        pass
+        while len(stack) > 1:
+            close()
     return out
 
 

@@ -2,9 +2,10 @@
 
 The text gets the dummy prefix and its spaces become the meta symbol. The automaton reads each character once; its
 output links list every piece that ends there, and each relaxes the best score at that position. A character that no
-piece covers falls back to its UTF-8 byte pieces, which cost more than any piece. No piece holds the meta symbol after
-another character, so the best split of a text is the best splits of its runs "spaces + word" in turn; those are kept
-in a bounded memo. Ties go to the longer last piece.
+piece covers falls back to its UTF-8 byte pieces, which cost BYTE_MARGIN more than the least likely piece. Where no piece holds
+the meta symbol after another character, the best split of a text is the best splits of its runs "spaces + word" in turn;
+those are kept in a bounded memo. A model with such pieces is split text by text. Ties go to the longer last piece. A model's own
+normaliser (such as NFKC) is not applied: texts are encoded as they are, so decoding gives them back.
 
 Scores: a unigram model's own log-probabilities. The vocabulary at hand is a merge (BPE) model, whose scores are merge
 ranks, so log-probabilities are taken from the place in merge order by Zipf's law: -ln(place + 3). Decoding inverts encoding for every
@@ -32,7 +33,7 @@ from .common import ship
 
 META = "▁"
 MEMO_CHUNKS = 200_000
-BYTE_COST = -20.0
+BYTE_MARGIN = 10.0
 _RUN = re.compile(" *[^ ]+| +")
 
 
@@ -71,8 +72,8 @@ class Codec(dict):
         for b, i in enumerate(self.byte_ids):
             if i >= 0:
                 self.raw[i] = bytes([b])
-        if any(META in p.lstrip(META) for p, s in zip(model["pieces"], model["scores"]) if s is not None):
-            raise ValueError("a piece holds the meta symbol after another character")
+        self.by_run = not any(META in p.lstrip(META) for p, s in zip(model["pieces"], model["scores"]) if s is not None)
+        self.byte_cost = min((s for s in model["scores"] if s is not None), default=0.0) - BYTE_MARGIN
 
     def __missing__(self, run: str) -> bytes:
         ids = np.array(self.best(run), "<i4").tobytes()
@@ -88,20 +89,20 @@ class Codec(dict):
         """Ids of the best split of a run in which spaces are still spaces."""
         literal = META in run
         text = (run.replace(META, "\0") if literal else run).replace(" ", META)
-        n = len(text)
+        n, byte_cost = len(text), self.byte_cost
         score, piece, size = [0.0] + [-math.inf] * n, [-1] * (n + 1), [1] * (n + 1)
         done = 0
         for end, (length, i, value) in self.automaton.iter(text):
             while done < end:  # positions before this end get no more pieces
                 done += 1
-                if score[done] < (fall := score[done - 1] + BYTE_COST):
+                if score[done] < (fall := score[done - 1] + byte_cost):
                     score[done], piece[done], size[done] = fall, -1, 1
             now = score[end + 1 - length] + value
             if now > score[end + 1] or now == score[end + 1] and length > size[end + 1]:
                 score[end + 1], piece[end + 1], size[end + 1] = now, i, length
         while done < n:
             done += 1
-            if score[done] < (fall := score[done - 1] + BYTE_COST):
+            if score[done] < (fall := score[done - 1] + byte_cost):
                 score[done], piece[done], size[done] = fall, -1, 1
         out, at = [], n
         while at:
@@ -116,6 +117,8 @@ class Codec(dict):
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<i4")
+        if not self.by_run:
+            return np.array(self.best(" " + text), "<i4")
         return np.frombuffer(b"".join(map(self.__getitem__, _RUN.findall(" " + text))), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
@@ -123,13 +126,23 @@ class Codec(dict):
         return raw.decode("utf-8", "surrogatepass")[1:]
 
 
+_last: list = [None, 0, None]
+
+
+def codec_of(shared, memo: int = MEMO_CHUNKS) -> Codec:
+    """One codec for a broadcast model in a worker process, which outlives its tasks; only the last is kept."""
+    if _last[0] is not shared.value or _last[1] != memo:
+        _last[:] = [shared.value, memo, Codec(shared.value, memo)]
+    return _last[2]
+
+
 def encode(docs: DataFrame, model: dict, memo: int = MEMO_CHUNKS) -> DataFrame:
     """(doc_id, ids array<int>) for each row of docs."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value, memo)
+        codec = codec_of(shared, memo)
         for batch in batches:
             at = 0
             while at < batch.num_rows:  # a bounded number of ids in memory at once
@@ -152,7 +165,7 @@ def decode(encoded: DataFrame, model: dict) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = codec_of(shared)
         for batch in batches:
             texts = [codec.decode(x.values.to_numpy()) if x.is_valid else None for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -169,7 +182,7 @@ def digest(docs: DataFrame, model: dict, memo: int = MEMO_CHUNKS) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value, memo)
+        codec = codec_of(shared, memo)
         fallback = np.zeros(len(codec.raw), bool)
         fallback[[i for i in codec.byte_ids if i >= 0]] = True
         for batch in batches:

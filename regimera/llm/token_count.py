@@ -125,13 +125,23 @@ class Lengths(dict):
         return n
 
 
+_last: list = [None, 0, None]
+
+
+def lengths_of(shared, memo: int = MEMO_WORDS) -> Lengths:
+    """One automaton for a broadcast vocabulary in a worker process, which outlives its tasks; only the last is kept."""
+    if _last[0] is not shared.value or _last[1] != memo:
+        _last[:] = [shared.value, memo, Lengths(*shared.value, memo)]
+    return _last[2]
+
+
 def count_tokens(docs: DataFrame, vocabulary: tuple[list[bytes], list[bytes]], memo: int = MEMO_WORDS) -> DataFrame:
     """(doc_id, n_words, n_tokens) for each row of docs."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = Lengths(*shared.value, memo)
+        lengths = lengths_of(shared, memo)
         look = lengths.__getitem__
         for batch in batches:
             n_words, n_tokens = [], []

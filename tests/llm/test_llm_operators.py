@@ -116,14 +116,10 @@ def test_quality_rules(docs, labels, none):
 def test_binomial_tail(spark):
     part = lambda i, n, p: math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
     exact = lambda k, n, p: math.fsum(part(i, n, p) for i in range(k + 1))
-    cases = [(0, 1, 0.3), (0, 217, 0.02), (3, 500, 0.02), (40, 3000, 0.02), (5, 20, 0.4), (600, 1500, 0.45)]
+    cases = [(0, 1, 0.3), (0, 217, 0.02), (3, 500, 0.02), (40, 3000, 0.02), (5, 20, 0.4), (600, 1500, 0.45), (19_700, 1_000_000, 0.02)]
     for k, n, p in cases:
-        for terms in (4096, 5):
-            got = spark.range(1).select(quality_rules.binomial_tail(F.lit(k), F.lit(n), p, terms)).first()[0]
-            if terms > k:
-                assert got == pytest.approx(exact(k, n, p), rel=1e-8)
-            else:
-                assert exact(k, n, p) * (1 - 1e-8) <= got <= 1
+        got = spark.range(1).select(quality_rules.binomial_tail(F.lit(k), F.lit(n), p)).first()[0]
+        assert got == pytest.approx(exact(k, n, p), rel=1e-8)
     assert spark.range(1).select(quality_rules.binomial_tail(F.lit(9), F.lit(10), 0.02)).first()[0] == 1
 
 
@@ -554,11 +550,14 @@ def test_matroska_unknown_sizes_and_noise():
     open_ended = media[:at] + b"\x01" + b"\xff" * 7 + media[at + width :]
     found = matroska.parse(open_ended)
     assert b"".join(open_ended[a:b] for _, _, a, b, _, _ in found.packets) == b"x" * 3000
+    deep = bytes([0xE1, 0xFF]) * 2000 + bytes([0xE1, 0x40, 0x03]) * 2000  # masters in masters
+    assert matroska.parse(deep).packets == [] and matroska.parse(deep + media).tracks is not None
     assert matroska.parse(b"").packets == [] and matroska.parse(bytes(200)).packets == [] and matroska.parse(b"\xff" * 99).packets == []
 
 
 def test_packet_table(spark):
-    df = spark.createDataFrame([(1, bytearray(matroska.write(b"y" * 2000))), (2, None)], "media_id long, media binary")
+    deep = bytearray([0xE1, 0xFF] * 2000)
+    df = spark.createDataFrame([(1, bytearray(matroska.write(b"y" * 2000))), (2, None), (3, deep)], "media_id long, media binary")
     rows = matroska.packet_table(df).orderBy("packet").collect()
     assert [r["end"] - r["start"] for r in rows] == [576, 576, 576, 272] and rows[0]["codec"] == "A_PCM/INT/LIT"
 
@@ -665,6 +664,27 @@ def test_sentencepiece(docs, none, pieces):
         assert codec.decode(codec.encode(t)) == t
 
 
+def test_sentencepiece_scores_below_minus_twenty_and_meta_inside():
+    names = ["<unk>", "\u2581", "a", "b", "ab", "a\u2581b", "\u2581ab"] + [f"<0x{i:02X}>" for i in range(256)]
+    scores = [None, -30.0, -40.0, -41.0, -45.0, -50.0, -60.0] + [None] * 256
+    model = {"pieces": names, "scores": scores, "bytes": list(range(7, 263)), "unknown": 0}
+    codec = sentencepiece_ac.Codec(model)
+    assert not codec.by_run and codec.byte_cost == -70
+
+    def best(text):  # every split, by pieces or one character's bytes
+        if not text:
+            return 0.0, ()
+        ways = [(-70.0 + best(text[1:])[0], (None, *best(text[1:])[1]))]
+        ways += [(v + best(text[len(p) :])[0], (i, *best(text[len(p) :])[1])) for i, (p, v) in enumerate(zip(names, scores)) if v is not None and text.startswith(p)]
+        return max(ways, key=lambda w: w[0])
+
+    for text in ("ab ab", "a b", "ba  b", "aab b a", "axb"):
+        ids = codec.encode(text)
+        want = [i for i in best("\u2581" + text.replace(" ", "\u2581"))[1]]
+        got = [int(i) if i < 7 else None for i in ids]
+        assert got == want and codec.decode(ids) == text
+
+
 # op10
 
 
