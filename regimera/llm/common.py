@@ -53,6 +53,10 @@ def written_since(mark: int) -> list[str]:
     return _written[mark:]
 
 
+def last_written() -> str:
+    return _written[-1]
+
+
 def n_written() -> int:
     return len(_written)
 

@@ -33,6 +33,7 @@ WINDOW = 5
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rules: larger is worse, each in [0, 1].
 RULES = ("symbol", "upper", "dup_line", "repeat", "few_distinct")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 LEVELS = 100
 #: Terms of a tail below this share of its first are not summed.
 TERM_SHARE = 1e-18
@@ -173,15 +174,18 @@ def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) ->
     )
 
 
-def judge(
-    docs: DataFrame,
-    labels: DataFrame,
-    keep: list[str],
-    stratum: str = "lang",
-    alpha: float = ALPHA,
-    delta: float = DELTA,
-) -> DataFrame:
-    """Columns `keep` of docs with the base counts, base_failed and kept.
+def judge(docs: DataFrame, labels: DataFrame, keep: list[str], stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """Columns `keep` of docs, of names other than those added, with the base counts, base_failed and kept."""
+    return _judged(docs, labels, keep, stratum, alpha, delta).select("row.*", *COUNTS, "base_failed", "kept")
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The rows of docs that are kept, with its columns, whatever their names."""
+    return _judged(docs, labels, docs.columns, stratum, alpha, delta).where("kept").select("row.*")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, keep: list[str], stratum: str, alpha: float, delta: float) -> DataFrame:
+    """(row, base counts, base_failed, kept).
 
     docs needs doc_id, text and the stratum column; labels needs doc_id and quality (1 is good). The counts are
     computed once and written to the shared folder, then the cutoffs are set from the labelled rows and applied.
@@ -210,6 +214,4 @@ def judge(
     judged = facts.join(materialise(limits, "quality-limits"), "stratum", "left")
     hit = F.exists(F.arrays_zip("stats", "limits"), lambda x: F.coalesce(x["stats"] >= x["limits"], F.lit(False)))
     bad = F.col("base_failed") | F.coalesce(hit, F.lit(False))
-    return judged.select(
-        "row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~bad).alias("kept")
-    )
+    return judged.select("row", *COUNTS, "base_failed", (~bad).alias("kept"))

@@ -838,4 +838,43 @@ def test_pipeline(spark):
     rows = [(r["doc_id"], r["text"]) for r in kept["quality rules"].collect()]
     assert {r["doc_id"] for r in kept["n-gram Jaccard join"].collect()} == {c for _, _, c in brute_components(rows)}
     assert all(not brute_spans(r["text"]) for r in kept["secret scans"].collect())
+    # The mix holds each source near its target, whole documents, none more than three times.
+    sizes, taken, copies = Counter(), Counter(), Counter()
+    for r in kept["secret scans"].collect():
+        sizes[r["source"]] += len(words(r["text"]))
+    for r in kept["mixing sources"].collect():
+        taken[r["source"]] += len(words(r["text"]))
+        copies[r["doc_id"]] += 1
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    want = water_level(sizes, {x: (5, 2, 1)[i % 3] for i, x in enumerate(order)})
+    longest = max(len(words(r["text"])) for r in kept["secret scans"].collect())
+    assert max(copies.values()) <= 3 and all(abs(taken[x] - want[x]) <= longest for x in want)
+    encoded = {r["doc_id"]: list(r["ids"]) for r in kept["SentencePiece encoding"].collect()}
+    codec = sentencepiece_ac.Codec(sentencepiece_ac.load_pieces(registry.PIECE_MODEL))
+    assert all(codec.decode(np.array(encoded[r["doc_id"]], "<i4")) == r["text"] for r in kept["mixing sources"].collect())
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def test_pipeline_on_awkward_rows(spark, docs, none, labels, tmp_path):
+    """Nulls, blanks, repeats, a long text, clashing names and an empty table through every stage."""
+    import corpus_pipeline
+
+    awkward = docs.withColumns({"row": F.lit(1), "text2": F.col("text"), "stats": F.lit("x"), "h": F.lit(2), "size": F.lit(3)})
+    for name, table in (("some", awkward), ("none", awkward.limit(0))):
+        folder = str(tmp_path / name)
+        table.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        step, kept = spark.read.parquet(f"{folder}/documents.parquet"), {}
+        for stage, f in corpus_pipeline.STAGES:
+            out = common.materialise(f(spark, step, folder), "test-awkward")
+            assert stage == corpus_pipeline.STAGES[-1][0] or out.columns == table.columns
+            step = kept[stage] = out
+        if name == "none":
+            assert step.count() == 0
+            continue
+        texts = {r[0]: r[1] for r in corpus()}
+        passed = [r["doc_id"] for r in kept["quality rules"].collect()]  # thirty labels certify no cutoff
+        assert Counter(passed) == Counter(r[0] for r in corpus() if not base_counts(r[1])[5])
+        single = [r["doc_id"] for r in kept["n-gram Jaccard join"].collect()]
+        assert sorted(single) == sorted({c for _, _, c in brute_components([(i, texts[i]) for i in passed])})
+        assert sorted(r["doc_id"] for r in kept["secret scans"].collect()) == sorted(single)
