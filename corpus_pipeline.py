@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 one's docs. Every stage works on all rows its predecessor kept; all but the last return the columns of documents.
+
+Cases, for every stage: an empty table gives an empty result; rows of equal id and text are rows of their own unless the stage
+says otherwise; ties are settled by id or by hashes of id and text, so reruns agree; texts of any length are taken whole;
+further columns of docs, of any name, are carried along (the last stage returns its own columns alone).
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regimera.llm import jaccard_join, mixing, quality_rules, registry, secret_scan, sentencepiece_ac
-from regimera.llm.common import discard, materialise, n_written, table, written_since
+from regimera.llm.common import discard, last_written, materialise, n_written, table, written_since
 
 _left: dict[str, list[str]] = {}
 
@@ -34,32 +38,44 @@ def staged(f):
 
 @staged
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the risk-controlled rules."""
-    judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
-    return judged.where("kept").select(docs.columns)
+    """Documents that pass the base rule and the risk-controlled rules.
+
+    A null, empty or blank text has no words and goes. A null language is a stratum of its own; repeated rows are all kept or
+    all go. Without labels only the base rule rejects; a null label or one of an unknown id counts for nothing.
+    """
+    return quality_rules.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 @staged
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the one with the smallest id.
+
+    Null and empty texts are in no group and stay; of rows that repeat an id one stays; rows without an id all stay.
+    """
     return jaccard_join.one_of_each(docs)
 
 
 @staged
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with secrets replaced by a mark."""
+    """The same documents with secrets replaced by a mark; n_chars follows the text.
+
+    A null text stays null, an empty one empty; repeated rows are treated alike; null sources are one owner.
+    """
     return secret_scan.redact(docs)
 
 
 @staged
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the shares of the target weights; repeats are repeated rows."""
+    """Documents in the shares of the target weights; repeats are repeated rows, each document three times at most.
+
+    Null, empty and blank texts hold no words and are taken 0 times; a null source is a source of its own, the last.
+    """
     return mixing.mixed_documents(docs)
 
 
 @staged
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document."""
+    """(doc_id, n_pieces, ids): piece ids of each row; none for a null or empty text."""
     encoded = sentencepiece_ac.encode(docs, sentencepiece_ac.load_pieces(registry.PIECE_MODEL))
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
@@ -75,9 +91,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in turn, each written to the shared folder and read again; a stage's table goes when the next has been written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         result = stage(spark, docs, sf_dir)
         docs = materialise(result, "stage-" + name.replace(" ", "-"))
+        discard(spark, before)
+        before = [last_written()]
     return STAGES[-1][1](spark, docs, sf_dir)
