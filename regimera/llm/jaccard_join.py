@@ -23,7 +23,7 @@ Scale: texts are never shuffled. Prefixes are about a fifth of all shingles at 8
 move only for nodes in some pair that the bitmaps left, chosen by a Bloom filter of 16 bits a node, or by a join where that
 would be over 2**BLOOM_MOST bits. A shingle whose sketch count exceeds
 `salt_at` has its list split by node over several partitions; the leaders of the parts are then paired with the least
-of them. Groups of more than GROUP_ROWS nodes are dealt as pairs of blocks to several tasks. The driver receives the
+of them. Groups of more than BLOCK_ROWS nodes are dealt as pairs of blocks to several tasks. The driver receives the
 sketch and the filter, both of bounded size.
 
 Cases: null and blank texts have an empty set, no links, and are components of their own; repeated rows (same id) keep a
@@ -58,7 +58,8 @@ LEAST_BITS = 512
 #: Bits of the bitmaps for each shingle: in the first round, and in the later ones.
 NARROW, WIDE = 1, 8
 TILE = 512
-GROUP_ROWS = 4096
+#: Most rows in a block of a group; a smaller group is cut into blocks of BLOCK_ROWS, up to BLOCKS of them, to spread its work.
+GROUP_ROWS, BLOCK_ROWS, BLOCKS = 4096, 256, 16
 #: Most ids that are broadcast to drop their documents.
 BROADCAST_IDS = 1 << 20
 #: Rows in an Arrow batch: texts and sets are wide.
@@ -500,11 +501,14 @@ def tiles(members: DataFrame, factor: int, best: int | None) -> DataFrame:
             give_back()
         return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
-    sizes = members.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("blocks"))
+    n = F.count(F.lit(1))
+    blocks = F.greatest(F.ceil(n / GROUP_ROWS), F.least(F.ceil(n / BLOCK_ROWS), F.lit(BLOCKS)))
+    sizes = members.groupBy("list").agg(blocks.cast("int").alias("blocks"))
     placed = members.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("one", F.least("block", "with")).withColumn("two", F.greatest("block", "with"))
-    return dealt.groupBy("list", "one", "two").applyInArrow(run, _GROUP)
+    # Dealt by all three: a table that is spread by list alone would do for the grouping, with all blocks of a list in one task.
+    return dealt.repartition("list", "one", "two").groupBy("list", "one", "two").applyInArrow(run, _GROUP)
 
 
 def _contested(groups: DataFrame, comps: DataFrame | None, facts: DataFrame) -> DataFrame:

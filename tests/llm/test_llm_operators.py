@@ -179,6 +179,7 @@ def test_jaccard_join_families(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     want = brute_components(rows)
     monkeypatch.setattr(jaccard_join, "GROUP_ROWS", 16)
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 4)
     assert sorted(map(tuple, jaccard_join.join(df).collect())) == want
     assert sorted(map(tuple, jaccard_join.join(df, salt_at=4).collect())) == want
 
