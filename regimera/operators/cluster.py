@@ -163,8 +163,15 @@ def bounded_samples(df: DataFrame, row_id: str, vector: str, n: int, allowed, k:
     return best.select("sample_id", F.when(F.col("accepted"), F.col("good")).otherwise(F.transform("last", lambda x: x * 0.99)).alias("v"), "accepted")
 
 
-def jitter(df: DataFrame, columns: list[str], scale: float = 0.01, seed: int = 42) -> DataFrame:
-    return df.select(*[(F.col(c) + F.randn(seed + i) * scale).alias(c) if c in columns else F.col(c) for i, c in enumerate(df.columns)])
+def jitter(df: DataFrame, columns: list[str], scale: float = 0.01, seed: int = 42, key: list[str] | None = None) -> DataFrame:
+    """df with normal noise on the columns, drawn from hashes of seed, column and row (its `key`, or all of it), so partitions do not matter."""
+    named = key or df.columns
+
+    def uniform(c: str, i: int) -> Column:
+        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(c), F.lit(i), *named), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+
+    noise = lambda c: F.sqrt(-2 * F.log(uniform(c, 0))) * F.cos(2 * math.pi * uniform(c, 1)) * scale
+    return df.select(*[(F.col(c) + noise(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 __all__ = ["best_kmeans", "bounded_samples", "centroids", "jitter", "kmeans_labels", "kmeans_scan", "mixture", "mixture_scan", "neighbours", "pca", "refine", "vectors", "Column"]

@@ -144,6 +144,15 @@ def preprocess(df: DataFrame, columns: list[str], order: list[str], unit: list[s
     return joined.select(*[done(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def outside(limits: dict[str, tuple[float | None, float | None]]) -> Column:
+    """Whether any column is below its low or above its high limit; None is no limit, a null value is inside."""
+    tests = [F.col(c) < lo for c, (lo, _) in limits.items() if lo is not None] + [F.col(c) > hi for c, (_, hi) in limits.items() if hi is not None]
+    out = F.lit(False)
+    for x in tests:
+        out = out | F.coalesce(x, F.lit(False))
+    return out
+
+
 def regimes(df: DataFrame, settings: list[str], most: int = 6) -> DataFrame:
     """df plus `regime`: the rank of the settings rounded to two places where they take at most `most` values (else `most` k-means cells).
 

@@ -141,6 +141,12 @@ def coherence_rate(filtered: DataFrame) -> DataFrame:
     return filtered.agg(F.coalesce(F.avg(F.col("feasible").cast("double")), F.lit(0.0)).alias("coherence_rate"))
 
 
+def synthesis_modes(filtered: DataFrame) -> DataFrame:
+    """(mode_id, kind): the fault and the infeasible modes, which synthetic samples are drawn for."""
+    kind = F.when(F.col("is_fault_state"), "fault").when(~F.col("feasible"), "infeasible")
+    return filtered.select("mode_id", kind.alias("kind")).where("kind is not null")
+
+
 def motor_proxies(z: DataFrame, p: dict, rms: str | None, mean: str | None, kurtosis: str | None) -> DataFrame:
     """(mode_id, q): physical proxies from standardised centroid columns; a missing column takes the default."""
     pick = lambda c, f, d: f(F.col(c)) if c else F.lit(float(d))

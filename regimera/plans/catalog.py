@@ -610,4 +610,6 @@ def load_from_file_number(spark, sf_dir):
     return t.table(spark, sf_dir, "nation").select(i.alias("i"), signals.load_hp(stem).alias("load_hp"))
 
 
-__all__ = ["ORACLES", "QUERIES", "SparkSession", "tiles"]
+from . import checks  # noqa: E402  registers its queries here
+
+__all__ = ["ORACLES", "QUERIES", "SparkSession", "checks", "tiles"]

@@ -17,6 +17,10 @@ from ..sources import params as parameters
 from ..sources.shared import settle
 
 
+#: Synthetic samples drawn for each fault and infeasible mode.
+SAMPLES = 50
+
+
 @dataclass
 class Run:
     """Tables of one run by name, lazily evaluated, and its few scalar facts."""
@@ -64,11 +68,19 @@ def discover(joint: DataFrame, modalities: dict[str, list[str]], columns: list[s
     bad = [r["mode_id"] for r in filtered.where("not feasible").select("mode_id").collect()]  # modes
     refined = cluster.refine(labelled.drop("responsibility"), row_id, "v", "mode_id", centroid, bad, "merge")
     refined = settle(refined, "run-refined")
+    synthetic, seen = None, physics.synthesis_modes(filtered).collect()  # modes
+    candidate = lambda v: physics.sample_allowed(F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), v), p)
+    for mode, kind in sorted((int(r["mode_id"]), r["kind"]) for r in seen):
+        drawn = cluster.bounded_samples(labelled.where(F.col("mode_id") == mode), row_id, "v", SAMPLES, candidate)
+        drawn = drawn.select(F.lit(mode).cast("long").alias("mode_id"), F.lit(kind).alias("kind"), "sample_id", "v", "accepted")
+        synthetic = drawn if synthetic is None else synthetic.unionByName(drawn)
+    if synthetic is None:
+        synthetic = joint.sparkSession.createDataFrame([], "mode_id long, kind string, sample_id long, v array<double>, accepted boolean")
     entries = retrieval.library_entries(filtered.join(signature, "mode_id").select("mode_id", F.col("signature").alias("dominance"), "label", "risk_score"), p["domain"])
     prints = filtered.join(signature, "mode_id").select("mode_id", "label", retrieval.fingerprint(F.col("violated"), F.col("signature"), F.col("risk_score")).alias("fp"))
     run.tables |= {
         "clusters": found, "votes": votes, "baseline": baseline, "mixture_scan": scan, "modes": modes, "dominance": dominance, "filtered": filtered,
-        "refined": refined, "library": entries, "fingerprints": prints, "coherence": physics.coherence_rate(filtered),
+        "refined": refined, "synthetic": synthetic, "library": entries, "fingerprints": prints, "coherence": physics.coherence_rate(filtered),
         "conflict": votes.agg(F.avg(F.col("conflict").cast("double")).alias("conflict_rate")),
     }
     run.facts["components"] = int(k)
