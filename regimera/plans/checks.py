@@ -41,7 +41,7 @@ _FOLDERS = ", ".join(f"({i}, '{kind}', {size})" for i, (_, kind, size) in enumer
 
 
 @query(f"""WITH f(i, fault_type, fault_diameter) AS (VALUES {_FOLDERS}), n AS (SELECT CAST(n_regionkey AS BIGINT) AS r, CAST(n_nationkey AS BIGINT) AS k FROM nation)
-  SELECT 'run_' || (97 + r) || '.mat' AS source_file, CAST(count(*) AS BIGINT) AS samples, sum(CAST(k AS DOUBLE)) AS de_sum, CASE WHEN r % 2 = 0 THEN sum(2.0 * k) ELSE 0.0 END AS fe_sum,
+  SELECT 'run_' || (97 + r) || '.mat' AS source_file, CAST(count(*) AS BIGINT) AS samples, sum(CAST(k AS DOUBLE)) AS de_sum, CAST(CASE WHEN r % 2 = 0 THEN sum(2 * k) ELSE 0 END AS DOUBLE) AS fe_sum,
     any_value(fault_type) AS fault_type, any_value(fault_diameter) AS fault_diameter, CAST(CASE WHEN r < 4 THEN r ELSE -1 END AS INTEGER) AS load_hp FROM n JOIN f ON f.i = 2 * r GROUP BY r""")
 def mat_scan(spark, sf_dir):
     """A level-5 MATLAB file for each region, in the folders of every other fault; odd ones have no fan end."""
@@ -130,7 +130,7 @@ def table_summary(spark, sf_dir):
 
 
 @query(f"""WITH p AS (SELECT CAST(p_size AS BIGINT) AS mode_id, avg(p_retailprice) / 1000 - 1 AS z, avg(p_partkey) / 1000 - 0.1 AS y FROM part GROUP BY 1)
-  SELECT mode_id, {q6('abs(z)', 'vibration_rms')}, {q6('y * 10 + 40', 'temperature')}, {q6('abs(y) * 2 + 1', 'current')}, {q6('0.5', 'thermal_rate')}, {q6('0.84', 'efficiency')} FROM p""")
+  SELECT mode_id, {q6('abs(z)', 'vibration_rms')}, {q6('y * 10 + 40', 'temperature')}, {q6('abs(y) * 2 + 1', 'current')}, {q6('CAST(0.5 AS DOUBLE)', 'thermal_rate')}, {q6('CAST(0.84 AS DOUBLE)', 'efficiency')} FROM p""")
 def motor_proxies(spark, sf_dir):
     z = t.table(spark, sf_dir, "part").groupBy(F.col("p_size").cast("long").alias("mode_id")).agg((F.avg("p_retailprice") / 1000 - 1).alias("de_rms"), (F.avg("p_partkey") / 1000 - 0.1).alias("de_mean"))
     q = physics.motor_proxies(z, params.MOTOR, "de_rms", "de_mean", None)
