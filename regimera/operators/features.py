@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import TINY, a_spectral_features, a_time_features, corr0, iqr, slope0
 from ..functions.spectrum import with_magnitudes
-from .windows import first_difference, forward_fill, full_windows, interpolate, ordered
+from ..sources.shared import settle
+from .windows import forward_fill, full_windows, interpolate, ordered
 
 WINDOW = 30
 STATS = ("mean", "std", "slope", "range", "iqr")
@@ -52,17 +53,24 @@ def _row_mean(columns: list[str]) -> Column:
 def cross_modal(df: DataFrame, unit: list[str], cycle: str, modalities: list[str], across_units: bool = False) -> DataFrame:
     """cross_{a}_{b}_product and _diff_product of the row means of each modality's *_mean columns.
 
-    Differences start anew in each unit; across_units=True lets them run on over all rows in (unit, cycle) order, which
-    needs all rows in one task and is meant for small tables.
+    Differences start anew in each unit; across_units=True lets them run on over all rows in (unit, cycle) order: a unit's first
+    row follows the last row of the unit before, so one task sees a row for each unit.
     """
     means = {m: _row_mean([c for c in df.columns if c.startswith(f"{m}_") and "_mean" in c]) for m in modalities}
-    w = Window.orderBy(*unit, cycle) if across_units else ordered(unit, [cycle])
+    w = ordered(unit, [cycle])
     out = df.select(*unit, cycle, *[v.alias(f"_{m}") for m, v in means.items()])
+    before = lambda m: F.lag(f"_{m}").over(w)
+    if across_units:
+        ends = out.groupBy(*unit).agg(F.max_by(F.struct(*[f"_{m}" for m in means]), cycle).alias("_end"))
+        ends = ends.select(*unit, F.lag("_end").over(Window.orderBy(*unit)).alias("_end"))
+        out = out.join(ends, unit).withColumn("_first", F.row_number().over(w) == 1)
+        before = lambda m: F.when(F.col("_first"), F.col("_end")[f"_{m}"]).otherwise(F.lag(f"_{m}").over(w))
+    step = lambda m: F.coalesce(F.col(f"_{m}") - before(m), F.lit(0.0))
     cols = []
     for a, b in combinations(modalities, 2):
         x, y = F.col(f"_{a}"), F.col(f"_{b}")
         cols.append((x * y).alias(f"cross_{a}_{b}_product"))
-        cols.append((first_difference(x, w) * first_difference(y, w)).alias(f"cross_{a}_{b}_diff_product"))
+        cols.append((step(a) * step(b)).alias(f"cross_{a}_{b}_diff_product"))
     return out.select(*unit, cycle, *cols)
 
 
@@ -114,10 +122,34 @@ def denormalise(df: DataFrame, columns: list[str], stats: DataFrame) -> DataFram
     return joined.select(*[(F.col(c) * F.col(f"std_{c}") + F.col(f"mean_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def quartiles(df: DataFrame, columns: list[str], parts: int = 256) -> DataFrame:
+    """One row: _q_{c}, the exact 25th and 75th percentile of each column with linear interpolation; null for a column without values.
+
+    Ranks come in two levels: counts of ranges of values, cut at approximate percentiles, then of the values in those
+    ranges alone that hold a wanted rank. No task holds a whole column.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
+    long = df.select(F.inline(pairs)).where("v is not null")
+    cuts = long.groupBy("feature").agg(F.percentile_approx("v", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10_000)).alias("cuts"), F.count(F.lit(1)).alias("all"))
+    values = long.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(cuts), "feature")  # a row for each column
+    placed = values.select("feature", "v", "n", "all", F.size(F.filter("cuts", lambda x: x <= F.col("v"))).alias("r"))
+    sums = placed.groupBy("feature", "r").agg(F.sum("n").alias("m"), F.max("all").alias("all"))
+    ahead = sums.withColumn("from", F.sum("m").over(Window.partitionBy("feature").orderBy("r")) - F.col("m"))  # `parts` rows for each column
+    place = [F.lit(q) * (F.col("all") - 1) for q in (0.25, 0.75)]
+    ranks = [F.struct(F.lit(i).alias("q"), F.lit(up).alias("up"), (F.ceil(x) if up else F.floor(x)).alias("rank"), (x - F.floor(x)).alias("part")) for i, x in enumerate(place) for up in (0, 1)]
+    wanted = ahead.select("feature", "r", "from", "m", F.inline(F.array(*ranks))).where((F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("from") + F.col("m")))
+    upto = F.sum("n").over(Window.partitionBy("feature", "r").orderBy("v"))
+    inside = placed.join(F.broadcast(wanted.select("feature", "r").distinct()), ["feature", "r"], "left_semi").select("feature", "r", "v", "n", upto.alias("upto"))  # four ranges a column
+    hits = inside.join(F.broadcast(wanted), ["feature", "r"]).where((F.col("rank") < F.col("from") + F.col("upto")) & (F.col("rank") >= F.col("from") + F.col("upto") - F.col("n")))
+    ends = hits.groupBy("feature", "q").agg(F.max("part").alias("part"), *[F.max(F.when(F.col("up") == i, F.col("v"))).alias(c) for i, c in enumerate(("low", "high"))])
+    value = F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
+    at = lambda c, i: F.max(F.when((F.col("feature") == c) & (F.col("q") == i), value))
+    return ends.groupBy().agg(*[F.array(at(c, 0), at(c, 1)).alias(f"_q_{c}") for c in columns])
+
+
 def clip_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Clip to [max(q25 - 1.5 iqr, -3), min(q75 + 1.5 iqr, 3)] of each (standardised) column."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{c}") for c in columns])
-    joined = df.crossJoin(F.broadcast(q))  # one row
+    joined = df.crossJoin(F.broadcast(quartiles(df, columns)))  # one row
 
     def clipped(c: str) -> Column:
         lo, hi = F.get(f"_q_{c}", 0), F.get(f"_q_{c}", 1)
@@ -129,11 +161,10 @@ def clip_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
 def preprocess(df: DataFrame, columns: list[str], order: list[str], unit: list[str] | None = None) -> DataFrame:
     """impute, zscore, clip_outliers with one pass for all statistics: quartiles of z follow from those of x.
 
-    The filled table is cached, as it is read for the statistics and again for the result.
+    The filled table is written, as it is read for the statistics and again for the result.
     """
-    filled = impute(df, columns, order, unit).cache()
-    q = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{c}") for c in columns]
-    stats = filled.agg(*q).crossJoin(scaler(filled, columns))  # one row each
+    filled = settle(impute(df, columns, order, unit), "preprocess-filled")
+    stats = quartiles(filled, columns).crossJoin(scaler(filled, columns))  # one row each
     joined = filled.crossJoin(F.broadcast(stats))
 
     def done(c: str) -> Column:

@@ -309,3 +309,22 @@ def test_density_has_no_bound_on_rows(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
     edges = density.spanning_trees(density.kth_nearest(df.withColumn("g", F.lit("a")).select("g", "id", "v"), 5)).collect()
     assert len(edges) == 4315
+
+
+def test_quartiles_are_exact(spark):
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 7, 500, 4000):
+        a, b = rng.normal(size=n) ** 5 * 1e6, rng.integers(0, 4, n).astype(float)
+        rows = [(float(x), float(y) if i % 5 else None, None, 7.0) for i, (x, y) in enumerate(zip(a, b))]
+        got = features.quartiles(spark.createDataFrame(rows, "a double, b double, c double, d double"), ["a", "b", "c", "d"], parts=16).first()
+        some = [y for _, y, _, _ in rows if y is not None]
+        for name, x in (("a", a), ("b", some), ("d", [7.0])):
+            want = np.percentile(x, [25, 75]) if len(x) else [None, None]
+            assert list(got[f"_q_{name}"]) == (pytest.approx(list(want)) if len(x) else want)
+        assert list(got["_q_c"]) == [None, None]
+
+
+def test_noise_does_not_depend_on_partitions(spark):
+    df = spark.range(1000).select("id", F.lit(2.0).alias("x"))
+    one, two = (sorted(map(tuple, cluster.jitter(d, ["x"], 0.1, key=["id"]).collect())) for d in (df, df.repartition(9)))
+    assert one == two and 0.05 < np.std([x for _, x in one]) < 0.15
