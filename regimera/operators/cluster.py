@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from py4j.protocol import Py4JJavaError
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -51,9 +52,15 @@ def kmeans_scan(df: DataFrame, row_id: str, vector: str, k_max: int = 10, seed:
 
 
 def best_mixture(df: DataFrame, k: int, seed: int = 42, restarts: int = 5, iterations: int = 50):
-    """The model with the greatest likelihood over several seeds."""
-    models = [GaussianMixture(k=k, seed=seed + i, maxIter=iterations).fit(df) for i in range(restarts)]
-    return max(models, key=lambda m: m.summary.logLikelihood)
+    """The model with the greatest likelihood over several seeds; a start whose covariances break down counts for nothing, None if all do."""
+    models = []
+    for i in range(restarts):
+        try:
+            models.append(GaussianMixture(k=k, seed=seed + i, maxIter=iterations).fit(df))
+        except Py4JJavaError as e:
+            if "breeze.linalg" not in str(e.java_exception):
+                raise
+    return max(models, key=lambda m: m.summary.logLikelihood, default=None)
 
 
 def mixture(df: DataFrame, vector: str, k: int, seed: int = 42, restarts: int = 5, iterations: int = 50):
@@ -74,7 +81,10 @@ def mixture_scan(df: DataFrame, vector: str, k_max: int = 10, seed: int = 42, it
     n, d = base.count(), len(base.first()[vector])
     rows = []
     for k in range(2, k_max + 1):
-        ll = float(best_mixture(base, k, seed, restarts, iterations).summary.logLikelihood)
+        model = best_mixture(base, k, seed, restarts, iterations)
+        if model is None:
+            continue
+        ll = float(model.summary.logLikelihood)
         p = n_parameters(k, d)
         rows.append((k, ll, p * math.log(n) - 2 * ll, 2 * p - 2 * ll))
     base.unpersist()
