@@ -502,28 +502,28 @@ _DIST = "sqrt(list_sum([power(x - b.v[i], 2) FOR x, i IN a.v]))"
 @query(f"""WITH {_PTS}, d AS (SELECT a.vec_id AS i, a.label AS la, b.label AS lb, sum({_DIST}) AS s, count(*) AS n FROM p a, p b GROUP BY 1, 2, 3), r AS (SELECT i, max(CASE WHEN la = lb THEN CASE WHEN n > 1 THEN s / (n - 1) END END) AS ca, min(CASE WHEN la <> lb THEN s / n END) AS cb FROM d GROUP BY 1)
   SELECT {q6('avg(CASE WHEN ca IS NULL THEN 0 ELSE (cb - ca) / greatest(ca, cb) END)', 'silhouette')} FROM r""")
 def silhouette(spark, sf_dir):
-    return rounded(metrics.silhouette(t.points(spark, sf_dir, t.SQL_DIMS), "vec_id", "v", "label"))
+    return rounded(metrics.silhouette(t.points(spark, sf_dir), "vec_id", "v", "label"))
 
 
-_CENT = f"""WITH {_PTS}, u AS (SELECT label, vec_id, unnest(v) AS x, unnest(range(1, 9)) AS i FROM p), c AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM u GROUP BY 1, 2),
+_CENT = f"""WITH {_PTS}, u AS (SELECT label, vec_id, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM p), c AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM u GROUP BY 1, 2),
   e AS (SELECT u.label, u.vec_id, sqrt(sum(power(x - m, 2))) AS d, sum(power(x - m, 2)) AS d2 FROM u JOIN c ON u.label = c.label AND u.i = c.i GROUP BY 1, 2)"""
 
 
 @query(f"""{_CENT}, s AS (SELECT label, avg(d) AS s FROM e GROUP BY 1), g AS (SELECT a.label AS i, b.label AS j, sqrt(sum(power(a.m - b.m, 2))) AS d FROM c a JOIN c b ON a.i = b.i AND a.label <> b.label GROUP BY 1, 2),
   r AS (SELECT i, max((x.s + y.s) / d) AS r FROM g JOIN s x ON x.label = i JOIN s y ON y.label = j GROUP BY 1) SELECT {q6('avg(r)', 'davies_bouldin')} FROM r""")
 def davies_bouldin(spark, sf_dir):
-    return rounded(metrics.davies_bouldin(t.points(spark, sf_dir, t.SQL_DIMS), "v", "label"))
+    return rounded(metrics.davies_bouldin(t.points(spark, sf_dir), "v", "label"))
 
 
 @query(f"""{_CENT}, g AS (SELECT i, avg(x) AS gm FROM u GROUP BY 1), b AS (SELECT sum(n * power(m - gm, 2)) AS b FROM c JOIN g USING (i)), w AS (SELECT sum(d2) AS w, count(*) AS n FROM e), k AS (SELECT count(DISTINCT label) AS k FROM p)
   SELECT {q6('(b / (k - 1)) / (w / (n - k))', 'calinski_harabasz')} FROM b, w, k""")
 def calinski_harabasz(spark, sf_dir):
-    return rounded(metrics.calinski_harabasz(t.points(spark, sf_dir, t.SQL_DIMS), "v", "label"))
+    return rounded(metrics.calinski_harabasz(t.points(spark, sf_dir), "v", "label"))
 
 
 @query(f"WITH {_PTS}, d AS (SELECT a.vec_id AS id, b.vec_id AS other, {_DIST} AS dist FROM p a, p b), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, other) AS rank FROM d) SELECT id, other, {q6('dist', 'dist')}, rank FROM k WHERE rank <= 5")
 def knn_edges(spark, sf_dir):
-    got = cluster.neighbours(t.points(spark, sf_dir, t.SQL_DIMS), "vec_id", "v", 5)
+    got = cluster.neighbours(t.points(spark, sf_dir), "vec_id", "v", 5)
     return rounded(got.select("id", "other", "dist", F.col("rank").cast("long").alias("rank")))
 
 
@@ -534,7 +534,7 @@ _NEAR = f"""{_CENT}, q AS (SELECT label, i, m FROM c), cd AS (SELECT a.label AS
 
 
 def _refined(spark, sf_dir, strategy):
-    p = t.points(spark, sf_dir, None if strategy == "split" else t.SQL_DIMS)
+    p = t.points(spark, sf_dir)
     c = metrics.centroids(p, "label", "v").select(F.col("label").alias("mode_id"), "centroid")
     return cluster.refine(p, "vec_id", "v", "label", c, _BAD, strategy).select("vec_id", F.col("refined").cast("int").alias("refined"))
 

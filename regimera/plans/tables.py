@@ -32,18 +32,12 @@ def risk_of(mode: str = "mode"):
     return F.length(mode) / 10.0
 
 
-#: Components that POINTS_SQL takes; queries with a DuckDB statement match it.
-SQL_DIMS = 8
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, v, label): the whole embeddings."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("int").alias("label"))
 
 
-def points(spark: SparkSession, sf_dir: str, dims: int | None = None, rows: int | None = None) -> DataFrame:
-    """(vec_id, v, label): the embeddings, or the first `dims` components of each."""
-    e = table(spark, sf_dir, "embeddings")
-    v = F.col("embedding").cast("array<double>")
-    return e.select("vec_id", (v if dims is None else F.slice(v, 1, dims)).alias("v"), F.col("label").cast("int").alias("label"))
-
-
-POINTS_SQL = "SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding[1:8]] AS v FROM embeddings"
+POINTS_SQL = "SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings"
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
