@@ -58,6 +58,10 @@ LEAST_BITS = 512
 #: Bits of the bitmaps for each shingle: in the first round, and in the later ones.
 NARROW, WIDE = 1, 8
 TILE = 512
+#: Bytes of bitmaps gathered at once, and widest bitmap (in bits) of a tile's first look: memory does not grow with the texts' lengths.
+GATHER_BYTES, LOOK_BITS = 1 << 22, 1 << 16
+#: Partners held in a task before only the best of each node are kept.
+HELD_PAIRS = 1 << 20
 #: Most rows in a block of a group; a smaller group is cut into blocks of BLOCK_ROWS, up to BLOCKS of them, to spread its work.
 GROUP_ROWS, BLOCK_ROWS, BLOCKS = 4096, 256, 16
 #: Most ids that are broadcast to drop their documents.
@@ -116,10 +120,13 @@ def slack(size_a: np.ndarray, size_b: np.ndarray, sig_a: list[bytes], sig_b: lis
     near = DENOMINATOR * np.minimum(size_a, size_b) >= NUMERATOR * np.maximum(size_a, size_b)
     width = np.minimum(widths(size_a, factor), widths(size_b, factor))
     for w in np.unique(width[near]).tolist():
-        rows = np.flatnonzero(near & (width == w))
-        x, y = folded([sig_a[i] for i in rows.tolist()], w), folded([sig_b[i] for i in rows.tolist()], w)
-        differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-        out[rows] = (size_a[rows] + size_b[rows] - differ) // 2 - needed_overlap(size_a[rows], size_b[rows])
+        of_width = np.flatnonzero(near & (width == w))
+        step = max(1, 8 * GATHER_BYTES // w)
+        for k in range(0, len(of_width), step):
+            rows = of_width[k : k + step]
+            x, y = folded([sig_a[i] for i in rows.tolist()], w), folded([sig_b[i] for i in rows.tolist()], w)
+            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            out[rows] = (size_a[rows] + size_b[rows] - differ) // 2 - needed_overlap(size_a[rows], size_b[rows])
     return out
 
 
@@ -460,8 +467,24 @@ def tiles(members: DataFrame, factor: int, best: int | None) -> DataFrame:
         node, comp, size, block = node[order], comp[order], size[order], block[order]
         sig, lists_of = [sig[i] for i in order], [frozenset(lists_of[i]) for i in order]
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def kept() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(end, other, slack) of what was found: each end's best partners, ties to the lower node, or every pair once."""
+            if not found:
+                return (np.zeros(0, np.int64),) * 3
+            end, other, value = (np.concatenate([f[i] for f in found]) for i in range(3))
+            if best is None:
+                return end, other, value
+            order = np.lexsort((node[other], -value, end))
+            end, other, value = end[order], other[order], value[order]
+            start = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
+            first = np.arange(len(end)) - np.repeat(start, np.diff(np.append(start, len(end)))) < best
+            return end[first], other[first], value[first]
+
         for i in range(0, len(node), TILE):
-            width = int(widths(size[i : i + 1], factor)[0])  # the tile's least: every bitmap of the tile folds to it
+            width = min(LOOK_BITS, int(widths(size[i : i + 1], factor)[0]))  # the tile's least: every bitmap of the tile folds to it
+            step = 8 * GATHER_BYTES // width
             left = folded(sig[i : i + TILE], width)
             for j in range(i, len(node), TILE):
                 if DENOMINATOR * size[min(i + TILE, len(node)) - 1] < NUMERATOR * size[j]:
@@ -476,7 +499,7 @@ def tiles(members: DataFrame, factor: int, best: int | None) -> DataFrame:
                 if not len(p):
                     continue
                 right = folded(sig[j : j + TILE], width)
-                differ = np.concatenate([np.bitwise_count(left[p[k : k + 65536]] ^ right[q[k : k + 65536]]).sum(1, dtype=np.int64) for k in range(0, len(p), 65536)])
+                differ = np.concatenate([np.bitwise_count(left[p[k : k + step]] ^ right[q[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(p), step)])
                 p, q = p + i, q + j
                 rest = (size[p] + size[q] - differ) // 2 - needed_overlap(size[p], size[q])
                 p, q = p[rest >= 0], q[rest >= 0]
@@ -485,16 +508,13 @@ def tiles(members: DataFrame, factor: int, best: int | None) -> DataFrame:
                     rest = slack(size[x], size[y], [sig[r] for r in x.tolist()], [sig[r] for r in y.tolist()], factor)
                     ok = rest >= 0
                     ok[ok] = [min(lists_of[u] & lists_of[v]) == own for u, v in zip(x[ok].tolist(), y[ok].tolist())]
-                    found.append((x[ok], y[ok], rest[ok]))
-        x, y, rest = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
-        if best is not None and len(x):
-            # Each end's best partners, by slack, ties to the lower node.
-            end, other, value = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([rest, rest])
-            order = np.lexsort((node[other], -value, end))
-            end, other = end[order], other[order]
-            start = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
-            place = np.arange(len(end)) - np.repeat(start, np.diff(np.append(start, len(end))))
-            x, y = end[place < best], other[place < best]
+                    x, y, rest = x[ok], y[ok], rest[ok]
+                    found.append((x, y, rest) if best is None else (np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([rest, rest])))
+                    held += len(found[-1][0])
+                    if best is not None and held > HELD_PAIRS + best * len(node):
+                        found[:] = [kept()]
+                        held = len(found[0][0])
+        x, y, _ = kept()
         low, high = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
         pairs = np.unique(np.stack([low, high]), axis=1) if len(low) else np.zeros((2, 0), np.int64)
         if len(node) > TILE:
