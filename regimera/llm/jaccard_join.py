@@ -62,8 +62,9 @@ TILE = 512
 GATHER_BYTES, LOOK_BITS = 1 << 22, 1 << 16
 #: Partners held in a task before only the best of each node are kept.
 HELD_PAIRS = 1 << 20
-#: Most rows in a block of a group; a smaller group is cut into blocks of BLOCK_ROWS, up to BLOCKS of them, to spread its work.
-GROUP_ROWS, BLOCK_ROWS, BLOCKS = 4096, 256, 16
+#: Most rows in a block of a group; a smaller group is cut into blocks of BLOCK_ROWS, up to BLOCKS of them, to spread its work: two
+#: blocks are some two million comparisons, and every row goes once to each block of its group.
+GROUP_ROWS, BLOCK_ROWS, BLOCKS = 4096, 1024, 16
 #: Most ids that are broadcast to drop their documents.
 BROADCAST_IDS = 1 << 20
 #: Rows in an Arrow batch: texts and sets are wide.
@@ -452,11 +453,11 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 _GROUP = "a bigint, b bigint"
 
 
-def tiles(members: DataFrame, factor: int, best: int | None) -> DataFrame:
-    """members: (list, node, comp, size, signature, lists). Pairs (a, b) across components that may link: each node's `best` partners, or all.
+def tiles(members: DataFrame, facts: DataFrame, factor: int, best: int | None) -> DataFrame:
+    """members: (list, node, comp, lists), facts: (node, size, signature) of every member. Pairs (a, b) across components that may link: each node's `best` partners, or all.
 
     A pair is looked at in the least list that both nodes are in. Lists of many nodes are cut into blocks by hashed node and
-    dealt as pairs of blocks.
+    dealt as pairs of blocks; bitmaps join the rows when these have been dealt, so they move once.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -528,18 +529,19 @@ def tiles(members: DataFrame, factor: int, best: int | None) -> DataFrame:
     dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("one", F.least("block", "with")).withColumn("two", F.greatest("block", "with"))
     # Dealt by all three: a table that is spread by list alone would do for the grouping, with all blocks of a list in one task.
+    dealt = dealt.join(facts.select("node", "size", "signature"), "node")
     return dealt.repartition("list", "one", "two").groupBy("list", "one", "two").applyInArrow(run, _GROUP)
 
 
-def _contested(groups: DataFrame, comps: DataFrame | None, facts: DataFrame) -> DataFrame:
-    """Rows of groups with several components, with what tiles() needs; without comps every node is a component."""
+def _contested(groups: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Rows of groups with several components, as tiles() takes them; without comps every node is a component."""
     if comps is None:
         placed = groups.withColumn("comp", F.col("node"))
     else:
         placed = groups.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         several = placed.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("list")
         placed = placed.join(several, "list", "left_semi")
-    return placed.join(facts.select("node", "size", "signature"), "node").select("list", "node", "comp", "size", "signature", "lists")
+    return placed.select("list", "node", "comp", "lists")
 
 
 def join(docs: DataFrame, salt_at: int = SALT_AT) -> DataFrame:
@@ -579,13 +581,13 @@ def _join(docs: DataFrame, salt_at: int) -> DataFrame:
     lists_of = grouped.groupBy("node").agg(F.collect_list("list").alias("lists"))
     groups = materialise(grouped.join(lists_of, "node"), "join-groups")
     # First round: every node is a component of its own.
-    asked = materialise(prune(pairs.select("a", "b").distinct(), nodes).unionByName(tiles(_contested(groups, None, nodes), NARROW, FEW)).distinct(), "join-asked")
+    asked = materialise(prune(pairs.select("a", "b").distinct(), nodes).unionByName(tiles(_contested(groups, None), nodes, NARROW, FEW)).distinct(), "join-asked")
     sets = materialise(set_table(docs, asked), "join-sets")
     links = materialise(verify(asked, sets), "join-links")
     comps = components(links)
     groups = groups.join(sets.select("node"), "node", "left_semi")
     for best in (MORE, None):
-        found = tiles(_contested(groups, comps, sets), WIDE, best)
+        found = tiles(_contested(groups, comps), sets, WIDE, best)
         more = materialise(found.join(asked, ["a", "b"], "left_anti"), "join-asked")
         if more.isEmpty():
             continue
