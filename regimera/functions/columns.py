@@ -13,6 +13,13 @@ def r6(c: Column) -> Column:
     return F.round(c, 6) + F.lit(0.0)
 
 
+def text2(c: Column) -> Column:
+    """A double rounded to two places, as text in plain digits below 1e16; the shortest digits that tell it."""
+    x = F.round(c * 100) / 100
+    plain = F.regexp_replace(x.cast("decimal(38,2)").cast("string"), "0$", "")
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lower(F.regexp_replace(x.cast("string"), "inity", ""))).when(F.abs(x) < 1e16, plain).otherwise(F.regexp_replace(x.cast("string"), r"(\.0)?E", "e+"))
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once."""
     return F.element_at(F.transform(F.array(value), body), 1)

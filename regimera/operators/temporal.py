@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from ..functions.columns import a_sum
 from .windows import adjacent_pairs, last_slope, ordered, run_lengths, run_ngrams
@@ -52,9 +53,14 @@ def top_sequences(df: DataFrame, unit: list[str], order: list[str], mode: str, n
     return grams.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *keys).limit(top)
 
 
-def _entropy(modes: Column) -> Column:
+def _entropy(modes: Column, known: list | None = None) -> Column:
+    """Known modes are summed in the order given, others as they are met."""
     total = F.size(modes).cast("double")
-    shares = F.transform(F.array_distinct(modes), lambda m: F.size(F.filter(modes, lambda x: x.eqNullSafe(m))) / total)
+    kinds = F.array_distinct(modes)
+    if known:
+        named = F.array(*[F.lit(k) for k in known])
+        kinds = F.concat(F.array_intersect(named, modes), F.array_except(modes, named))
+    shares = F.transform(kinds, lambda m: F.size(F.filter(modes, lambda x: x.eqNullSafe(m))) / total)
     return -a_sum(F.transform(shares, lambda p: p * F.ln(p + 1e-10)))
 
 
@@ -64,23 +70,27 @@ def _most_common(modes: Column) -> Column:
     return F.array_max(ranked)["m"]
 
 
-def degradation(df: DataFrame, unit: list[str], order: list[str], mode: str, risk: str, window: int, n_modes: int, clipped: bool = False, high: float = 0.5) -> DataFrame:
+def degradation(df: DataFrame, unit: list[str], order: list[str], mode: str, risk: str, window: int, n_modes: int, clipped: bool = False, high: float = 0.5, known: list | None = None) -> DataFrame:
     """(unit, t, imdti, avg_risk, entropy, dwell, dominant_mode) from the `window` rows before each row (t counts from 0).
 
     imdti = 0.50 avg_risk + 0.25 entropy / ln(n_modes) + 0.25 dwell. dwell is the share of rows with risk > high; the
     clipped variant uses >= high and clips each part and the sum to [0, 1]. One known mode gives a normalised entropy of
-    -1 unclipped, as ln(1 + 1e-10) divides its own negative.
+    -1 unclipped, as ln(1 + 1e-10) divides its own negative. Risks held as decimals are averaged exactly; `known` gives the order in
+    which the modes' parts of the entropy are added.
     """
     w = ordered(unit, order)
     frame = w.rowsBetween(-window, -1)
     hot = F.col(risk) >= high if clipped else F.col(risk) > high
     scale = math.log(max(n_modes, 1) + 1e-10)
+    kind, mean = df.schema[risk].dataType, F.avg(risk).over(frame)
+    if isinstance(kind, DecimalType):  # a quotient of whole numbers, rounded once
+        mean = F.sum((F.col(risk) * 10**kind.scale).cast("long")).over(frame) / (F.count(risk).over(frame) * float(10**kind.scale))
     out = df.select(
         *unit, (F.row_number().over(w) - 1).cast("long").alias("t"),
-        F.collect_list(mode).over(frame).alias("_modes"), F.avg(risk).over(frame).alias("avg_risk"),
+        F.collect_list(mode).over(frame).alias("_modes"), mean.alias("avg_risk"),
         F.avg(hot.cast("double")).over(frame).alias("dwell"),
     ).where(F.col("t") >= window)
-    out = out.withColumn("entropy", _entropy(F.col("_modes"))).withColumn("dominant_mode", _most_common(F.col("_modes")))
+    out = out.withColumn("entropy", _entropy(F.col("_modes"), known)).withColumn("dominant_mode", _most_common(F.col("_modes")))
     clip = (lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))) if clipped else (lambda c: c)
     value = clip(0.50 * clip(F.col("avg_risk")) + 0.25 * clip(F.col("entropy") / scale) + 0.25 * F.col("dwell"))
     return out.select(*unit, "t", value.alias("imdti"), "avg_risk", "entropy", "dwell", "dominant_mode")
@@ -89,13 +99,14 @@ def degradation(df: DataFrame, unit: list[str], order: list[str], mode: str, ris
 def remaining_life(trajectory: DataFrame, unit: list[str], failure: float = 0.85, least: int = 10, last: int = 50) -> DataFrame:
     """(unit, points, degradation_rate, rul): slope of the last points, and the cycles until the trend meets `failure`.
 
-    rul is null below `least` points and infinite where the trend does not rise.
+    rul is null below `least` points and infinite where the trend does not rise. It divides by a slope that may be next to nothing, so
+    slope and intercept are taken step by step as SQL engines do: moments by n over moments by n, plain means.
     """
     w = Window.partitionBy(*unit).orderBy("t")
     x = trajectory.withColumn("_x", (F.row_number().over(w) - 1).cast("double"))
     fit = x.groupBy(*unit).agg(
-        F.count(F.lit(1)).alias("points"), F.regr_slope("imdti", "_x").alias("_m"), F.regr_intercept("imdti", "_x").alias("_b"), F.max("_x").alias("_last")
-    )
+        F.count(F.lit(1)).alias("points"), (F.covar_pop("_x", "imdti") / F.nullif(F.var_pop("_x"), F.lit(0.0))).alias("_m"), F.avg("imdti").alias("_y"), F.avg("_x").alias("_c"), F.max("_x").alias("_last")
+    ).withColumn("_b", F.col("_y") - F.col("_m") * F.col("_c"))
     reach = F.try_divide(F.lit(failure) - F.col("_b"), F.col("_m")) - F.col("_last")
     rul = F.when(F.col("points") >= least, F.when(F.coalesce(F.col("_m"), F.lit(0.0)) <= 0, F.lit(float("inf"))).otherwise(F.greatest(F.lit(0.0), reach)))
     slopes = last_slope(trajectory, unit, "t", "imdti", last).withColumnRenamed("slope", "degradation_rate")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import r6
+from ..functions.columns import r6, text2
 from ..operators import causal, cluster, consensus, density, features, metrics, physics, retrieval, temporal, tiles, windows
 from ..sources import params, signals
 from . import tables as t
@@ -44,9 +44,10 @@ RISK_SQL = "CASE mode WHEN 'click' THEN 0.1 WHEN 'view' THEN 0.3 WHEN 'purchase'
 
 def _risky(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = t.cycles(spark, sf_dir)
-    risk = F.lit(t.RISK["error"])
+    exact = lambda x: F.lit(str(x)).cast("decimal(3,2)")  # noqa: E731  as SQL reads such numbers
+    risk = exact(t.RISK["error"])
     for name, value in t.RISK.items():
-        risk = F.when(F.col("mode") == name, value).otherwise(risk)
+        risk = F.when(F.col("mode") == name, exact(value)).otherwise(risk)
     return c.withColumn("risk", risk)
 
 
@@ -207,12 +208,12 @@ def _imdti(window: int, clipped: bool) -> str:
 
 @query(_imdti(10, False) + f" SELECT unit_id, t, {q6('imdti', 'imdti')}, {q6('ar', 'avg_risk')}, {q6('h', 'entropy')}, {q6('dw', 'dwell')}, dom AS dominant_mode FROM j")
 def imdti_trajectory(spark, sf_dir):
-    return rounded(temporal.degradation(_risky(spark, sf_dir), UNIT, ORDER, "mode", "risk", 10, 5))
+    return rounded(temporal.degradation(_risky(spark, sf_dir), UNIT, ORDER, "mode", "risk", 10, 5, known=list(t.RISK)))
 
 
 @query(_imdti(20, True) + f" SELECT {q6('avg(imdti)', 'imdti')} FROM j")
 def imdti_clipped_mean(spark, sf_dir):
-    got = temporal.degradation(_risky(spark, sf_dir), UNIT, ORDER, "mode", "risk", 20, 5, clipped=True, high=0.6)
+    got = temporal.degradation(_risky(spark, sf_dir), UNIT, ORDER, "mode", "risk", 20, 5, clipped=True, high=0.6, known=list(t.RISK))
     return rounded(got.agg(F.coalesce(F.avg("imdti"), F.lit(0.0)).alias("imdti")))
 
 
@@ -221,9 +222,8 @@ def imdti_clipped_mean(spark, sf_dir):
   s AS (SELECT unit_id, CASE WHEN count(*) >= 50 THEN regr_slope(imdti, x) ELSE 0 END AS dr FROM x WHERE r <= 50 GROUP BY 1)
   SELECT unit_id, points, {q6('dr', 'degradation_rate')}, CASE WHEN points >= 10 THEN CASE WHEN m <= 0 THEN 'inf' ELSE CAST(round(greatest(0.0, (0.85 - b) / m - l), 2) AS VARCHAR) END END AS rul FROM f JOIN s USING (unit_id)""")
 def degradation_summary(spark, sf_dir):
-    got = temporal.remaining_life(temporal.degradation(_risky(spark, sf_dir), UNIT, ORDER, "mode", "risk", 10, 5), UNIT)
-    text = F.when(F.col("rul") == float("inf"), F.lit("inf")).otherwise(F.round("rul", 2).cast("string"))
-    return got.select("unit_id", "points", r6(F.col("degradation_rate")).alias("degradation_rate"), F.when(F.col("rul").isNotNull(), text).alias("rul"))
+    got = temporal.remaining_life(temporal.degradation(_risky(spark, sf_dir), UNIT, ORDER, "mode", "risk", 10, 5, known=list(t.RISK)), UNIT)
+    return got.select("unit_id", "points", r6(F.col("degradation_rate")).alias("degradation_rate"), text2(F.col("rul")).alias("rul"))
 
 
 _EDGES = f"""WITH {EV}, v AS (SELECT unit_id, cycle, 'high_value' AS e FROM ev WHERE value > 60 UNION ALL SELECT unit_id, cycle, 'high_load' FROM ev WHERE k > 90 UNION ALL SELECT unit_id, cycle, 'error' FROM ev WHERE mode = 'error'),

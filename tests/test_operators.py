@@ -328,3 +328,21 @@ def test_noise_does_not_depend_on_partitions(spark):
     df = spark.range(1000).select("id", F.lit(2.0).alias("x"))
     one, two = (sorted(map(tuple, cluster.jitter(d, ["x"], 0.1, key=["id"]).collect())) for d in (df, df.repartition(9)))
     assert one == two and 0.05 < np.std([x for _, x in one]) < 0.15
+
+
+def test_text_of_large_doubles_is_that_of_sql(spark):
+    import duckdb
+
+    from regimera.functions.columns import text2
+
+    xs = [0.0, 0.004, 0.125, 1.0, 2.5, 1234.565, 9999999.99, 1e7, 30211753.23, 84017672.1, 123456789012.5, 9.87654321e15, 1e16, 1.25e17, math.inf]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i").select(text2(F.col("x"))).collect()]
+    assert got == [duckdb.sql(f"SELECT CAST(round(CAST('{x!r}' AS DOUBLE), 2) AS VARCHAR)").fetchall()[0][0] for x in xs]
+
+
+def test_decimal_risks_are_averaged_exactly(spark):
+    rows = [("u", i, m, r) for i, (m, r) in enumerate([("b", "0.10"), ("a", "0.55"), ("c", "0.70"), ("a", "0.90"), ("b", "0.10")] * 3)]
+    df = spark.createDataFrame(rows, "u string, t int, m string, r string").withColumn("r", F.col("r").cast("decimal(3,2)"))
+    got = temporal.degradation(df, ["u"], ["t"], "m", "r", 10, 3, known=["a", "b", "c"]).collect()
+    parts = [0.4 * math.log(0.4 + 1e-10), 0.4 * math.log(0.4 + 1e-10), 0.2 * math.log(0.2 + 1e-10)]
+    assert {r["avg_risk"] for r in got} == {0.47} and {r["entropy"] for r in got} == {-sum(parts)}
