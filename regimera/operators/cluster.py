@@ -11,7 +11,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import calinski_harabasz, centroids, davies_bouldin, silhouette
+from . import fits
+from .metrics import centroids
 from .tiles import nearest, pack
 
 
@@ -35,18 +36,12 @@ def kmeans_labels(df: DataFrame, columns: list[str] | str, k: int, seed: int = 4
 
 def kmeans_scan(df: DataFrame, row_id: str, vector: str, k_max: int = 10, seed: int = 42, restarts: int = 10) -> DataFrame:
     """(k, inertia, silhouette, davies_bouldin, calinski_harabasz, best) for k = 2..k_max; best marks the highest silhouette, first on ties."""
-    spark = df.sparkSession
-    base = vectors(df.select(row_id, vector), vector).cache()
-    rows = []
-    for k in range(2, k_max + 1):  # a handful of model fits, not data
-        model = best_kmeans(base, k, seed, restarts)
-        got = model.transform(base).withColumnRenamed("prediction", "label").cache()
-        if got.select("label").distinct().count() < 2:
-            continue
-        scores = silhouette(got, row_id, vector, "label").crossJoin(davies_bouldin(got, vector, "label")).crossJoin(calinski_harabasz(got, vector, "label")).first()
-        rows.append((k, float(model.summary.trainingCost), *map(float, scores)))
-        got.unpersist()
-    base.unpersist()
+    spark, ks = df.sparkSession, list(range(2, k_max + 1))
+    blocks = fits.Blocks(df, vector)
+    models = fits.kmeans(blocks, ks, [seed + i for i in range(restarts)])
+    scores = fits.validity(blocks, [models[k][1] for k in ks])
+    blocks.drop()
+    rows = [(k, models[k][0], *found) for k, found in zip(ks, scores) if found is not None]
     out = spark.createDataFrame(rows, "k int, inertia double, silhouette double, davies_bouldin double, calinski_harabasz double")
     return out.withColumn("best", F.row_number().over(Window.orderBy(F.desc("silhouette"), "k")) == 1)
 

@@ -371,3 +371,42 @@ def test_searches_stay_in_many_tasks(spark):
     rows = df.select(F.lit("a").alias("g"), "id", F.lit(0.0).alias("core"), F.col("id").alias("comp"), "v")
     plan = density._cells(rows, rows, 4, 50, True)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "CartesianProduct" not in plan and "SortMergeJoin" not in plan and "hashpartitioning(g" in plan
+
+
+def _jobs(spark, name, act):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = act()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_kmeans_scan_fits_all_starts_in_one_pass(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(c, 0.3, (40, 3)) for c in (0, 4, 8, 12)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    rows, jobs = _jobs(spark, "kmeans-scan", lambda: cluster.kmeans_scan(df, "id", "v", k_max=6, restarts=6).orderBy("k").collect())
+    assert jobs < 100  # a job for each start, count and step would be some hundreds
+    assert [r["k"] for r in rows] == [2, 3, 4, 5, 6] and [r["k"] for r in rows if r["best"]] == [4]
+    four, means = rows[2], np.stack([x[i * 40 : i * 40 + 40].mean(0) for i in range(4)])
+    assert four["inertia"] == pytest.approx(((x - np.repeat(means, 40, axis=0)) ** 2).sum(), rel=1e-9)
+    named = spark.createDataFrame([(i, v.tolist(), i // 40) for i, v in enumerate(x)], "id long, v array<double>, label int")
+    assert four["silhouette"] == pytest.approx(metrics.silhouette(named, "id", "v", "label").first()[0], rel=1e-9)
+    assert four["davies_bouldin"] == pytest.approx(metrics.davies_bouldin(named, "v", "label").first()[0], rel=1e-9)
+    assert four["calinski_harabasz"] == pytest.approx(metrics.calinski_harabasz(named, "v", "label").first()[0], rel=1e-9)
+
+
+def test_validity_of_many_labelings_counts_copies_and_lone_rows(spark):
+    from regimera.operators import fits
+
+    x = np.array([[0.0, 0.0]] * 5 + [[1e-9, 0.0], [3.0, 1.0], [50.0, 50.0]])
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>")
+    centers = [np.array([[0.0, 0.0], [50.0, 50.0]]), np.array([[0.0, 0.0], [3.0, 1.0], [50.0, 50.0], [900.0, 900.0]]), np.array([[0.0, 0.0]])]
+    got = fits.validity(fits.Blocks(df, "v", rows=3), centers)
+    for c, scores in zip(centers[:2], got):
+        own = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        named = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, own))], "id long, v array<double>, label int")
+        assert scores[0] == pytest.approx(metrics.silhouette(named, "id", "v", "label").first()[0], rel=1e-9)
+        assert scores[1] == pytest.approx(metrics.davies_bouldin(named, "v", "label").first()[0], rel=1e-9)
+    assert got[2] is None
