@@ -72,17 +72,13 @@ def n_parameters(k: int, d: int) -> int:
 
 def mixture_scan(df: DataFrame, vector: str, k_max: int = 10, seed: int = 42, iterations: int = 30, restarts: int = 5) -> DataFrame:
     """(k, log_likelihood, bic, aic, best) for k = 2..k_max; best marks the lowest BIC."""
-    base = vectors(df, vector).cache()
-    n, d = base.count(), len(base.first()[vector])
+    n, d = df.count(), len(df.select(vector).first()[0])
+    blocks = fits.Blocks(df, vector)
     rows = []
-    for k in range(2, k_max + 1):
-        model = best_mixture(base, k, seed, restarts, iterations)
-        if model is None:
-            continue
-        ll = float(model.summary.logLikelihood)
+    for k, ll in sorted(fits.mixtures(blocks, list(range(2, k_max + 1)), [seed + i for i in range(restarts)], iterations).items()):
         p = n_parameters(k, d)
         rows.append((k, ll, p * math.log(n) - 2 * ll, 2 * p - 2 * ll))
-    base.unpersist()
+    blocks.drop()
     out = df.sparkSession.createDataFrame(rows, "k int, log_likelihood double, bic double, aic double")
     return out.withColumn("best", F.row_number().over(Window.orderBy("bic", "k")) == 1)
 

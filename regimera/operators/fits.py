@@ -329,3 +329,93 @@ def validity(blocks: Blocks, centers: list[np.ndarray]) -> list[tuple[float, flo
         between, within = (n * ((m - n @ m / total) ** 2).sum(1)).sum(), away[1].sum()
         done.append((float(silhouette[i] / total), float(worst[np.isfinite(worst)].mean()), float((between / (k - 1)) / (within / (total - k))) if total > k and within > 0 else None))
     return done
+
+
+# Mixtures
+
+#: Logarithm of what is added to every component's density at every row, as pyspark.ml does: no component loses all rows.
+FLOOR = float(np.log(2.0**-52))
+
+
+def _normal(mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """(mean, root of the inverse, logarithm of the height); by the pseudo-inverse where a covariance is singular, None where it is nothing."""
+    if not np.isfinite(cov).all():
+        return None
+    try:
+        low = np.linalg.cholesky(cov)
+        scale = np.diag(low)
+        if scale.min() > 1e-5 * scale.max():
+            return mean, np.ascontiguousarray(np.linalg.inv(low).T), -0.5 * len(cov) * np.log(2 * np.pi) - np.log(scale).sum()
+    except np.linalg.LinAlgError:
+        pass
+    e, v = np.linalg.eigh(cov)
+    some = e > np.finfo(float).eps * max(e.max(), 0.0) * len(e)
+    if not some.any():
+        return None
+    root = v[:, some] / np.sqrt(e[some])
+    return mean, root, -0.5 * (len(e) * np.log(2 * np.pi) + np.log(e[some]).sum())
+
+
+def mixtures(blocks: Blocks, counts: list[int], seeds: list[int], iterations: int, tol: float = 0.01) -> dict[int, float]:
+    """k -> log-likelihood of the best start: full covariances, all starts of all counts in one pass a step.
+
+    A start has the mean and the variances of five drawn rows for each component, and ends when its likelihood moves by less than `tol`
+    or after `iterations` steps. One whose covariances break down counts for nothing; a k without any is absent.
+    """
+    starts = [(k, s) for k in counts for s in seeds]
+    models: dict[int, tuple[np.ndarray, list]] = {}
+    for i, ((k, _), x) in enumerate(zip(starts, draw(blocks, [(s * 1009 + k, 5 * k) for k, s in starts]))):
+        parts = [x[j * len(x) // k : (j + 1) * len(x) // k] for j in range(k)]
+        normals = [_normal(p.mean(0), np.diag(p.var(0))) if len(p) else None for p in parts]
+        if all(n is not None for n in normals):
+            models[i] = (np.full(k, 1 / k), normals)
+
+    def step(block, x, models):
+        out = {}
+        for i, (weights, normals) in models.items():
+            logs = np.empty((len(x), len(weights)))
+            for j, (mean, root, height) in enumerate(normals):
+                z = (x - mean) @ root
+                logs[:, j] = np.log(weights[j]) + height - 0.5 * np.einsum("ij,ij->i", z, z)
+            logs = np.logaddexp(FLOOR, logs)
+            top = logs.max(1, keepdims=True)
+            share = np.exp(logs - top)
+            whole = share.sum(1, keepdims=True)
+            share /= whole
+            parts = [np.array([float((top + np.log(whole)).sum())])]
+            for j, (mean, _, _) in enumerate(normals):
+                y = x - mean  # about the former mean: nothing cancels
+                r = share[:, j : j + 1] * y
+                parts += [share[:, j].sum()[None], r.sum(0), (r.T @ y).ravel()]
+            out[i] = np.concatenate(parts)
+        return out
+
+    likelihood: dict[int, float] = {}
+    before = dict.fromkeys(models, -np.inf)
+    n = float(sum(r["n"] for r in blocks.frame.select("n").collect()))  # a number for each block
+    for turn in range(iterations + 1):
+        if not models:
+            break
+        sums, after = blocks.total(step, models), {}
+        for i, (weights, normals) in models.items():
+            ll, d = float(sums[i][0]), len(normals[0][0])
+            if not np.isfinite(ll):
+                continue
+            if turn == iterations or turn and abs(ll - before[i]) <= tol:
+                likelihood[i] = ll
+                continue
+            before[i], at, new, mass = ll, 1, [], []
+            for mean, _, _ in normals:
+                w, first, second = sums[i][at], sums[i][at + 1 : at + 1 + d], sums[i][at + 1 + d : at + 1 + d + d * d].reshape(d, d)
+                at += 1 + d + d * d
+                mass.append(w / n)
+                shift = first / w if w > 0 else np.full(d, np.nan)
+                new.append(_normal(mean + shift, second / w - np.outer(shift, shift)) if w > 0 else None)
+            if all(x is not None for x in new):
+                after[i] = (np.array(mass), new)
+        models = after
+    best: dict[int, float] = {}
+    for i, ll in likelihood.items():
+        k = starts[i][0]
+        best[k] = max(best.get(k, -np.inf), ll)
+    return best

@@ -410,3 +410,17 @@ def test_validity_of_many_labelings_counts_copies_and_lone_rows(spark):
         assert scores[0] == pytest.approx(metrics.silhouette(named, "id", "v", "label").first()[0], rel=1e-9)
         assert scores[1] == pytest.approx(metrics.davies_bouldin(named, "v", "label").first()[0], rel=1e-9)
     assert got[2] is None
+
+
+def test_mixture_scan_fits_all_starts_in_one_pass(spark):
+    x = np.concatenate([np.random.default_rng(2).normal(c, 0.2, (50, 2)) for c in (0, 3, 6)])
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>")
+    rows, jobs = _jobs(spark, "mixture-scan", lambda: cluster.mixture_scan(df, "v", k_max=4, restarts=4).orderBy("k").collect())
+    assert jobs < 80  # a job for each start, count and step would be hundreds
+    assert [r["k"] for r in rows] == [2, 3, 4] and [r["k"] for r in rows if r["best"]] == [3]
+    y = x - np.repeat([x[i : i + 50].mean(0) for i in (0, 50, 100)], 50, axis=0)
+    apart = 0.0
+    for i in (0, 50, 100):
+        cov = y[i : i + 50].T @ y[i : i + 50] / 50
+        apart += -0.5 * (50 * np.log(np.linalg.det(2 * np.pi * cov)) + np.einsum("ij,ij->", y[i : i + 50] @ np.linalg.inv(cov), y[i : i + 50])) - 50 * np.log(3)
+    assert rows[1]["log_likelihood"] == pytest.approx(apart, abs=0.1)
