@@ -20,6 +20,31 @@ def text2(c: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lower(F.regexp_replace(x.cast("string"), "inity", ""))).when(F.abs(x) < 1e16, plain).otherwise(F.regexp_replace(x.cast("string"), r"(\.0)?E", "e+"))
 
 
+def fma(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c rounded once, from error-free products and sums of doubles."""
+
+    def halves(v: Column) -> tuple[Column, Column]:
+        t = v * F.lit(134217729.0)
+        high = t - (t - v)
+        return high, v - high
+
+    (ah, al), (bh, bl), p = halves(a), halves(b), a * b
+    s = p + c
+    back = s - p
+    return s + ((p - (s - back)) + (c - back) + (((ah * bh - p) + ah * bl + al * bh) + al * bl))
+
+
+def a_moments(pairs: Column) -> Column:
+    """(n, c, s) of an array of structs (x, y): their number, the sum of (x - mean x)(y - mean y) and that of (x - mean x)^2, in order."""
+
+    def step(m: Column, p: Column) -> Column:
+        n, dx = m["n"] + 1.0, p["x"] - m["mx"]
+        mx, my = m["mx"] + dx / n, m["my"] + (p["y"] - m["my"]) / n
+        return F.struct(n.alias("n"), mx.alias("mx"), my.alias("my"), fma(dx, p["y"] - my, m["c"]).alias("c"), fma(p["x"] - mx, dx, m["s"]).alias("s"))
+
+    return F.aggregate(pairs, F.struct(*[F.lit(0.0).alias(k) for k in ("n", "mx", "my", "c", "s")]), step)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from ..functions.columns import a_sum
+from ..functions.columns import a_moments, a_sum, fma
 from .windows import adjacent_pairs, last_slope, ordered, run_lengths, run_ngrams
 
 
@@ -100,13 +100,19 @@ def remaining_life(trajectory: DataFrame, unit: list[str], failure: float = 0.85
     """(unit, points, degradation_rate, rul): slope of the last points, and the cycles until the trend meets `failure`.
 
     rul is null below `least` points and infinite where the trend does not rise. It divides by a slope that may be next to nothing, so
-    slope and intercept are taken step by step as SQL engines do: moments by n over moments by n, plain means.
+    slope and intercept are taken step by step as the SQL engine does: from the last point to the first, moments rounded once a step, by n, and plain
+    means. A unit's points are one array there.
     """
     w = Window.partitionBy(*unit).orderBy("t")
     x = trajectory.withColumn("_x", (F.row_number().over(w) - 1).cast("double"))
+    some = F.col("imdti").isNotNull()
     fit = x.groupBy(*unit).agg(
-        F.count(F.lit(1)).alias("points"), (F.covar_pop("_x", "imdti") / F.nullif(F.var_pop("_x"), F.lit(0.0))).alias("_m"), F.avg("imdti").alias("_y"), F.avg("_x").alias("_c"), F.max("_x").alias("_last")
-    ).withColumn("_b", F.col("_y") - F.col("_m") * F.col("_c"))
+        F.count(F.lit(1)).alias("points"), F.sort_array(F.collect_list(F.when(some, F.struct(F.col("_x").alias("x"), F.col("imdti").alias("y")))), asc=False).alias("_p"), F.max("_x").alias("_last")
+    ).withColumn("_c", a_moments(F.col("_p")))
+    n = F.col("_c")["n"]
+    fit = fit.withColumn("_m", (F.col("_c")["c"] / F.nullif(n, F.lit(0.0))) / F.nullif(F.col("_c")["s"] / F.nullif(n, F.lit(0.0)), F.lit(0.0)))
+    mean = lambda k: a_sum(F.transform("_p", lambda p: p[k])) / F.nullif(n, F.lit(0.0))
+    fit = fit.withColumn("_b", fma(-F.col("_m"), mean("x"), mean("y")))
     reach = F.try_divide(F.lit(failure) - F.col("_b"), F.col("_m")) - F.col("_last")
     rul = F.when(F.col("points") >= least, F.when(F.coalesce(F.col("_m"), F.lit(0.0)) <= 0, F.lit(float("inf"))).otherwise(F.greatest(F.lit(0.0), reach)))
     slopes = last_slope(trajectory, unit, "t", "imdti", last).withColumnRenamed("slope", "degradation_rate")

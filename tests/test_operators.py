@@ -424,3 +424,21 @@ def test_mixture_scan_fits_all_starts_in_one_pass(spark):
         cov = y[i : i + 50].T @ y[i : i + 50] / 50
         apart += -0.5 * (50 * np.log(np.linalg.det(2 * np.pi * cov)) + np.einsum("ij,ij->", y[i : i + 50] @ np.linalg.inv(cov), y[i : i + 50])) - 50 * np.log(3)
     assert rows[1]["log_likelihood"] == pytest.approx(apart, abs=0.1)
+
+
+def test_moments_are_rounded_once_a_step(spark):
+    from fractions import Fraction
+
+    from regimera.functions.columns import a_moments, fma
+
+    rng = np.random.default_rng(8)
+    rows = [tuple(float(v) for v in r) for r in np.concatenate([rng.normal(0, 1, (200, 3)), [[0.1, 10.0, -1.0], [1 / 3, 3.0, -1.0]]])]
+    got = [r[0] for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a double, b double, c double").orderBy("i").select(fma(F.col("a"), F.col("b"), F.col("c"))).collect()]
+    assert got == [float(Fraction(a) * Fraction(b) + Fraction(c)) for a, b, c in rows]
+    n = mx = my = c = s = 0.0
+    for x, y, _ in rows:
+        n, dx = n + 1.0, x - mx
+        mx, my = mx + dx / n, my + (y - my) / n
+        c, s = float(Fraction(dx) * Fraction(y - my) + Fraction(c)), float(Fraction(x - mx) * Fraction(dx) + Fraction(s))
+    m = spark.createDataFrame([([r[:2] for r in rows],)], "p array<struct<x: double, y: double>>").select(a_moments(F.col("p")).alias("m")).first()["m"]
+    assert (m["n"], m["c"], m["s"]) == (202.0, c, s)
